@@ -7,8 +7,9 @@ table of counts of fixed size over all documents; it only sets the order, so its
 1. Documents with equal sets become one class, represented by its smallest doc_id.
 2. Representatives meet a leader at each of a few min-wise hashes; verified links collapse large groups of near
    copies into components before anything is enumerated.
-3. Prefix elements are joined. Only pairs of *different* components that pass the length and position bounds
-   become candidates, so a group of k copies costs about k pairs, never k squared.
+3. Prefix elements are joined. Only pairs of *different* components that pass the length and position bounds, and
+   whose parity bitmaps differ in no more bits than linked sets may, become candidates, so a group of k copies costs
+   about k pairs, never k squared. All bounds are exact: they leave no linked pair out.
 4. A probe document walks the prefix tree of its candidates' ordered sets: overlaps of shared beginnings are
    counted once and a subtree is left as soon as its remaining lengths can't reach the threshold.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.store import materialize
+from plumbline.llm.store import materialize, without
 from plumbline.llm.textvec import U, mix, shingle_sets
 
 SLOTS = 1 << 22  # counters of the order table
@@ -38,6 +39,7 @@ SLICES = 16
 KEYS = 6  # min-wise hashes with which leaders are found
 BLOCK = 200  # documents checked against one probe in a task
 BUCKET_ROWS = 1_000_000  # prefix elements of a bucket
+MARKS = 8  # 64-bit words of the parity bitmap
 HOT = 4096  # an element counted so often is joined by Spark alone, not inside a bucket
 BITS = 1 << 23  # of the filter that names the texts to be read again
 ENTRY = np.dtype([("token", "i8"), ("doc_id", "i8"), ("sig", "i8"), ("n", "i4"), ("pos", "i4")])
@@ -112,6 +114,13 @@ def _ids(batch: pa.RecordBatch) -> tuple[list, list]:
     return batch.column(0).to_pylist(), batch.column(1).to_pylist()
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """How often, modulo 2, the set's elements fall on each of 64 * MARKS places. Each element that only one of two
+    sets holds changes one place, so the sets differ in at least as many elements as their bitmaps in bits."""
+    at = (values >> U(20)) % U(64 * MARKS)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * MARKS) & 1).view("i8")
+
+
 def _first_pass(width: int):
     factors = mix(np.arange(11, 11 + KEYS, dtype=U)) | U(1)
 
@@ -121,13 +130,14 @@ def _first_pass(width: int):
             ids, texts = _ids(batch)
             rows = []
             for i, s in zip(ids, shingle_sets(texts, width), strict=True):
-                n, sig, keys = len(s), (0, 0), []
+                n, sig, keys, marks = len(s), (0, 0), [], []
                 if n:
                     np.add.at(counts, (s & U(SLOTS - 1)).astype(np.int64), 1)
                     with np.errstate(over="ignore"):
                         sig = tuple(int(x) for x in np.array([s.sum(), mix(s ^ U(0x5851F42D4C957F2D)).sum()]).view("i8"))
                         keys = [int(k) for k in np.array([mix(s * f).min() for f in factors]).view("i8")]
-                rows.append((i, n, *sig, keys, None, None, None))
+                    marks = parity(s).tolist()
+                rows.append((i, n, *sig, keys, marks, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
         part = TaskContext.get().partitionId()
         rows = [{"slice": k, "part": part, "blob": zlib.compress(c.tobytes(), 1)} for k, c in enumerate(np.split(counts, SLICES)) if c.any()]
@@ -136,8 +146,8 @@ def _first_pass(width: int):
     return run
 
 
-FIRST = "doc_id long, n int, s1 long, s2 long, keys array<long>, slice int, part int, blob binary"
-FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
+FIRST = "doc_id long, n int, s1 long, s2 long, keys array<long>, marks array<long>, slice int, part int, blob binary"
+FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -264,15 +274,19 @@ def _leaders(reps: DataFrame, num: int, den: int) -> DataFrame:
     return met.where((F.col("a") != F.col("doc_id")) & (den * F.least("n", "na") >= num * F.greatest("n", "na"))).select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def _across(shared: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of different components at a shared prefix element, within the length and position bounds."""
     rows = shared.groupBy("token", "sig", "n", "pos").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component_id", "doc_id")).select("token", "doc_id", "n", "pos", "label")
     many = rows.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("l"), F.max(F.struct("c", "label")).alias("m")).where("l > 1")
-    rows = materialize(rows.join(many.select("token", F.col("m.label").alias("major")), "token"))
+    rows = rows.join(many.select("token", F.col("m.label").alias("major")), "token")
+    rows = rows.join(classes.select(F.col("class_id").alias("doc_id"), *[F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)]), "doc_id")
+    rows = materialize(rows)
+    apart = " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(MARKS))
     x, y = rows.where("label <> major").alias("x"), rows.alias("y")
     met = x.join(y, F.expr(f"""x.token = y.token and x.label <> y.label and (y.label = y.major or x.label < y.label)
         and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)
+        and ({den} + {num}) * ({apart}) <= ({den} - {num}) * (x.n + y.n)
         and ({den} + {num}) * (1 + least(x.pos, y.pos) + least(x.n - x.pos - 1, y.n - y.pos - 1)) >= {num} * (x.n + y.n)"""))
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
@@ -287,8 +301,8 @@ def jaccard_links(documents: DataFrame, width: int = 5, num: int = 80, den: int
     levels = spark.sparkContext.broadcast(_levels(counts))
     # frequent against the mean slot, so that a full table of a large corpus doesn't make everything frequent
     hot = int(_levels(np.array([HOT + 4 * counts.mean()]))[0])
-    sets = first.where("blob is null").select("doc_id", "n", "s1", "s2", "keys")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"))
+    sets = first.where("blob is null").select("doc_id", "n", "s1", "s2", "keys", "marks")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"), F.first("keys").alias("keys"), F.first("marks").alias("marks"))
     classes = materialize(classes)
     reps = classes.select(F.col("class_id").alias("doc_id"), "n", "keys")
 
@@ -297,7 +311,7 @@ def jaccard_links(documents: DataFrame, width: int = 5, num: int = 80, den: int
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     entries = docs.mapInArrow(_prefixes(levels, hot, width, num, den, max(1, total // BUCKET_ROWS + 1) * 8), "bucket long, blob binary")
     shared = materialize(entries.groupBy("bucket").applyInPandas(_shared, "token long, doc_id long, sig long, n int, pos int"))
-    pairs = materialize(_across(shared, labels, num, den))
+    pairs = materialize(_across(shared, labels, classes, num, den))
     links = near
     if not pairs.isEmpty():
         links = near.union(verified(docs, pairs, levels, width, num, den))
@@ -314,5 +328,4 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:
     """The documents that are alone or the smallest id of their group; rows that repeat a doc_id stay."""
-    groups = near_duplicates(documents.select("doc_id", "text"), **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(groups, "doc_id", "left_anti")
+    return without(documents, near_duplicates(documents.select("doc_id", "text"), **options).where("doc_id <> component_id").select("doc_id"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+
+
+SENT = 1_000_000  # ids that are broadcast; more are joined by shuffling
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """``documents`` but those whose doc_id is in the one column of ``ids``. Rows with a null doc_id stay."""
+    ids = materialize(ids.toDF("doc_id").where("doc_id is not null").distinct())
+    few = ids.count() <= SENT
+    return documents.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")

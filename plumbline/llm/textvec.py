@@ -31,9 +31,10 @@ def _stream(n: int, seed: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII but letters and digits.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BYTE = _stream(256, 7) | U(1)
 _BYTE[65:91] = _BYTE[97:123]
-_BYTE[_SPACE] = 0
 _PLACE = _stream(64, 1 << 20) | U(1)
 _powers = np.ones(1, dtype=U)
 
@@ -46,10 +47,10 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Byte offsets of the words of ``data`` and a hash of each."""
+def word_hashes(data: bytes, blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets of the words of ``data`` and a hash of each; ``blanks`` marks the bytes between words."""
     buf = np.frombuffer(data, dtype=np.uint8)
-    blank = _SPACE[buf]
+    blank = blanks[buf]
     first = ~blank
     first[1:] &= blank[:-1]
     starts = np.flatnonzero(first)
@@ -58,8 +59,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = starts[0]
     spans = np.diff(np.r_[starts, len(buf)])
     place = np.arange(a, len(buf)) - np.repeat(starts, spans)
+    value = np.where(blanks, U(0), _BYTE)
     with np.errstate(over="ignore"):
-        each = _BYTE[buf[a:]] * _power(int(spans.max()) + 1)[place]
+        each = value[buf[a:]] * _power(int(spans.max()) + 1)[place]
         return starts, mix(np.add.reduceat(each, starts - a))
 
 
@@ -88,10 +90,10 @@ def _chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         yield held
 
 
-def word_lists(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+def word_lists(texts: Iterable[str | None], blanks: np.ndarray = _SPACE) -> Iterator[np.ndarray]:
     """For each text the hashes of its words, in order."""
     for raws in _chunks(texts):
-        starts, words = word_hashes(b" ".join(raws))
+        starts, words = word_hashes(b" ".join(raws), blanks)
         ends = np.cumsum([len(r) + 1 for r in raws])
         cut = np.searchsorted(starts, ends)
         a = 0
