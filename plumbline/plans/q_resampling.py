@@ -122,7 +122,7 @@ def _(t: Tables):
     return _rounded(resampling.rank_range_null(null), "median_range", "mean_range")
 
 
-@query("null_exceedance", _ADD + _NULL + _RANGE.format("n", "nl") + ", ob AS (SELECT 0 AS rep, * FROM bin)" + _RANGE.format("o", "ob") + ", ".join([""] + [f"e{i} AS (SELECT '{c}' AS statistic, max(o.{c}) AS observed, round((1 + count(*) FILTER (ns.{c} >= o.{c})) / (count(*) + 1), 9) AS p FROM ns, os o)" for i, c in enumerate(("median_range", "mean_range", "max_range"))]) + " SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2")
+@query("null_exceedance", _ADD + _NULL + _RANGE.format("n", "nl") + ", ob AS (SELECT 0 AS rep, * FROM bin)" + _RANGE.format("q", "ob") + ", ".join([""] + [f"e{i} AS (SELECT '{c}' AS statistic, max(o.{c}) AS observed, round((1 + count(*) FILTER (ns.{c} >= o.{c})) / (count(*) + 1), 9) AS p FROM ns, qs o)" for i, c in enumerate(("median_range", "mean_range", "max_range"))]) + " SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2")
 def _(t: Tables):
     null = resampling.sample_null(resampling.additive_probabilities(t.binary), B, 9)
     return _rounded(resampling.exceedance(t.binary, resampling.rank_range_null(null)), "p")
