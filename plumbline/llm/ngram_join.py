@@ -323,7 +323,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, num: int = 80, den: in
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) for every row."""
     sets, links = jaccard_links(documents, width, num, den)
     found = components(materialize(links)).withColumnRenamed("doc_id", "class_id")
-    return sets.join(found, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "class_id", "doc_id").alias("component_id"))
+    return sets.join(found, "class_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "class_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(documents: DataFrame, **options) -> DataFrame:

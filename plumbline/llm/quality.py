@@ -158,12 +158,9 @@ def keep_good(documents: DataFrame, labels: DataFrame, host: str = "source", pat
     from plumbline.llm.store import materialize
 
     model = learn(documents, labels, fit_rows)
-    carried = _sited(documents, host, path)
-    sites = materialize(site_posteriors(with_evidence(carried, model, "_host", "_path").withColumnsRenamed({"_host": "host", "_path": "path"})))
+    # the row travels as one column, so names of the input can't clash with those made here
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
+    sites = materialize(site_posteriors(with_evidence(rows, model, "host", "path")))
     few = sites.count() <= SITES_SENT
-    scored = with_evidence(carried, model, *carried.columns).withColumnsRenamed({"_host": "host", "_path": "path"}) if not {"host", "path"} & set(documents.columns) else None
-    if scored is None:  # the input has columns of these names: keep them aside
-        aside = {"host": "_in_host", "path": "_in_path"}
-        kept = keep_good(documents.withColumnsRenamed(aside), labels, aside.get(host, host), aside.get(path, path), threshold, fit_rows)
-        return kept.withColumnsRenamed({v: k for k, v in aside.items()})
-    return judge(scored, threshold, F.broadcast(sites) if few else sites).where("keep").select(*documents.columns)
+    judged = judge(with_evidence(rows, model, "row", "host", "path"), threshold, F.broadcast(sites) if few else sites)
+    return judged.where("keep").select("row.*")
