@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import materialize
 from plumbline.llm.textvec import sequence_hash, word_lists
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
 SITES_SENT = 200_000  # paths whose posteriors are broadcast; more are joined by shuffling
+PARTS = 64  # parts of a site in that join
 _LETTER_GROUPS = [range(65, 91), range(97, 123), range(48, 58), range(128, 256), (32,), (10,), (9, 13)]
 _SIGNS = [c for c in range(33, 127) if not chr(c).isalnum()]
 N_FEATURES = len(_LETTER_GROUPS) + len(_SIGNS) + 6
@@ -127,10 +129,18 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     return paths.join(hosts, "host").withColumns({"prior": F.lit(float(prior)), "weight": F.lit(float(weight))})
 
 
+def _at_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    """Rows with their site's posteriors: few sites are broadcast, of more each is dealt to PARTS parts, so that a
+    site of very many rows isn't one task's."""
+    if sites.count() <= SITES_SENT:
+        return scored.join(F.broadcast(sites), ["host", "path"])
+    parts = sites.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return scored.withColumn("_part", F.pmod(F.xxhash64("evidence"), F.lit(PARTS)).cast("int")).join(parts, ["host", "path", "_part"]).drop("_part")
+
+
 def judge(scored: DataFrame, threshold: float = THRESHOLD, sites: DataFrame | None = None) -> DataFrame:
     """Adds host_posterior, path_posterior, score and keep to rows with host, path and evidence."""
-    sites = site_posteriors(scored) if sites is None else sites
-    out = scored.join(sites, ["host", "path"])
+    out = _at_sites(scored, materialize(site_posteriors(scored)) if sites is None else sites)
     own = F.col("evidence")
     host = (F.col("host_sum") - own + F.col("weight") * F.col("prior")) / (F.col("host_n") - 1 + F.col("weight"))
     path = (F.col("path_sum") - own + F.col("weight") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("weight"))
@@ -146,8 +156,6 @@ def _sited(documents: DataFrame, host: str, path: str) -> DataFrame:
 
 def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, score, keep of every row of ``documents``."""
-    from plumbline.llm.store import materialize
-
     model = learn(documents, labels, fit_rows)
     scored = with_evidence(_sited(documents, host, path), model, "doc_id", "_host", "_path")
     return judge(materialize(scored.withColumnsRenamed({"_host": "host", "_path": "path"})), threshold)
@@ -155,12 +163,9 @@ def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path
 
 def keep_good(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that ``classify`` keeps, with their columns. Texts aren't shuffled while the sites are few."""
-    from plumbline.llm.store import materialize
-
     model = learn(documents, labels, fit_rows)
     # the row travels as one column, so names of the input can't clash with those made here
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
     sites = materialize(site_posteriors(with_evidence(rows, model, "host", "path")))
-    few = sites.count() <= SITES_SENT
-    judged = judge(with_evidence(rows, model, "row", "host", "path"), threshold, F.broadcast(sites) if few else sites)
+    judged = judge(with_evidence(rows, model, "row", "host", "path"), threshold, sites)
     return judged.where("keep").select("row.*")

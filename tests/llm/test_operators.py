@@ -214,6 +214,13 @@ def test_quality_on_held_out(spark):
     assert quality.classify(d, labels.limit(0)).where("not keep").count() == 0
 
 
+def test_sites_joined_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([("h", "p", 0.2 + 0.01 * i) for i in range(50)] + [("g", "p", 0.5)], "host string, path string, evidence double")
+    want = sorted(r["score"] for r in quality.judge(rows).collect())
+    monkeypatch.setattr(quality, "SITES_SENT", -1)
+    assert sorted(r["score"] for r in quality.judge(rows).collect()) == pytest.approx(want)
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.9)] * 200 + [("small", "a", 0.1)] + [("mid", "b", 0.5)] * 20
     out = quality.judge(spark.createDataFrame(rows, "host string, path string, evidence double"))
