@@ -39,6 +39,7 @@ SLICES = 16
 KEYS = 6  # min-wise hashes with which leaders are found
 BLOCK = 200  # documents checked against one probe in a task
 BUCKET_ROWS = 1_000_000  # prefix elements of a bucket
+FLUSH = 400_000  # prefix elements that a task holds before it deals them out
 MARKS = 8  # 64-bit words of the parity bitmap
 HOT = 4096  # an element counted so often is joined by Spark alone, not inside a bucket
 BITS = 1 << 23  # of the filter that names the texts to be read again
@@ -179,10 +180,20 @@ def _prefixes(levels, hot, width: int, num: int, den: int, buckets: int):
     """Prefix elements of all documents, as one blob for each task and bucket; buckets below 0 hold frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, often, own = levels.value, hot, TaskContext.get().partitionId()
+        table, own = levels.value, TaskContext.get().partitionId()
+
+        def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            token = rows["token"].view(U)
+            to = (mix(token) % U(buckets)).astype(np.int64)
+            to[(token >> U(58)) >= U(hot)] = -1 - own
+            rows, to = rows[order := np.argsort(to, kind="stable")], to[order]
+            names, at = np.unique(to, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(rows, at[1:])], pa.binary())], names=["bucket", "blob"])
+
+        held, size = [], 0
         for batch in batches:
             ids, texts = _ids(batch)
-            held = []
             for i, s in zip(ids, shingle_sets(texts, width), strict=True):
                 n = len(s)
                 if n and i is not None:
@@ -192,14 +203,12 @@ def _prefixes(levels, hot, width: int, num: int, den: int, buckets: int):
                     rows = np.empty(len(first), dtype=ENTRY)
                     rows["token"], rows["doc_id"], rows["sig"], rows["n"], rows["pos"] = first.view("i8"), i, sig, n, np.arange(len(first))
                     held.append(rows)
-            if held:
-                rows = np.concatenate(held)
-                token = rows["token"].view(U)
-                to = (mix(token) % U(buckets)).astype(np.int64)
-                to[(token >> U(58)) >= U(often)] = -1 - own
-                rows, to = rows[order := np.argsort(to, kind="stable")], to[order]
-                names, at = np.unique(to, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(rows, at[1:])], pa.binary())], names=["bucket", "blob"])
+                    size += len(rows)
+                    if size >= FLUSH:
+                        yield dealt(held)
+                        held, size = [], 0
+        if held:
+            yield dealt(held)
 
     return run
 
