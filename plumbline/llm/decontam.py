@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import without
+from plumbline.llm.store import small_batches, without
 from plumbline.llm.textvec import MARKS, U, mix, word_lists
 
 LEAST = 5
@@ -108,6 +108,7 @@ def _search(seeds: np.ndarray, item: np.ndarray, place: np.ndarray, sizes: np.nd
 def contamination(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, coverage, matched_words, tiles for every document that holds enough of an item."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    small_batches(documents.sparkSession)
     out, held, size = None, [], 0
 
     def search(block: list) -> DataFrame:

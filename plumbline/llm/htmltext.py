@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.store import small_batches
+
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noframes xmp".split())
@@ -224,5 +226,6 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": pd.Series(texts, dtype=object, index=pdf.index), "n_chars": pd.Series([len(t) for t in texts], dtype="int64", index=pdf.index)})
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.store import materialize, without
+from plumbline.llm.store import materialize, small_batches, without
 from plumbline.llm.textvec import U, mix, shingle_sets
 
 SLOTS = 1 << 22  # counters of the order table
@@ -304,6 +304,7 @@ def jaccard_links(documents: DataFrame, width: int = 5, num: int = 80, den: int
     """(documents' sets, links). Sets: doc_id, n_shingles, class_id for every row; links: verified (a, b) of classes
     that together connect every two classes of similarity >= num/den, directly or through others."""
     spark = documents.sparkSession
+    small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = materialize(docs.mapInArrow(_first_pass(width), FIRST))
     counts = _counts(first)

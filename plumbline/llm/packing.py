@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import materialize
+from plumbline.llm.store import materialize, small_batches
 
 SHARD = 8192  # pieces that one task packs together
 FULL = 0.95  # bins filled less go to the next round
-CACHED = 400_000  # chunks of text whose ids a worker keeps
+CACHED = 150_000  # chunks of text whose ids a worker keeps
 PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _coders: dict = {}
 
@@ -198,6 +198,7 @@ def _pack_shard(level: int, cap: int, last: bool):
 def pack_documents(documents: DataFrame, ranks_path: str, pattern: str, cap: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids (little-endian uint32)."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    small_batches(documents.sparkSession)
     columns = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids binary"
     left = materialize(docs.mapInArrow(_pieces(ranks_path, pattern, end_id, cap, with_ids), columns))
     out, level, before = None, 0, None

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.store import materialize
+from plumbline.llm.store import materialize, small_batches
 from plumbline.llm.textvec import sequence_hash, word_lists
 
 FIT_ROWS = 20_000
@@ -90,6 +90,7 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
             rows = features(batch.column(1).to_pylist()).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["y", "x"])
 
+    small_batches(documents.sparkSession)
     rows = fit_sample(documents, labels, "quality", fit_rows).select("doc_id", "text", "y").mapInArrow(run, "y double, x binary").collect()
     x = np.array([np.frombuffer(r["x"], dtype=np.float32) for r in rows], dtype=float).reshape(len(rows), N_FEATURES)
     return fit(x, np.array([r["y"] for r in rows]))

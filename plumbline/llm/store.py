@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python 1,000 rows at a time where the session leaves Spark's 10,000: documents are large rows, and
+    each batch is held by the JVM and by the worker at once. A value of the session's own stays."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

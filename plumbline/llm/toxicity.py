@@ -183,8 +183,9 @@ class Index:
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, int], Index]:
     from plumbline.llm.quality import fit_sample
-    from plumbline.llm.store import materialize
+    from plumbline.llm.store import materialize, small_batches
 
+    small_batches(documents.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     sample = materialize(fit_sample(documents, usable, "toxic", fit_rows).dropDuplicates(["text"]))
     shares = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0.5).alias("y")).count().collect()}
