@@ -1,7 +1,7 @@
 """Operator 6: toxicity by nearest labelled examples of exact TF-IDF cosine, from a block-max inverted index.
 
-The vocabulary is learned from labelled rows: words, and beginnings of words, most of whose examples are toxic, by a
-likelihood-ratio test that few random words pass. Documents and examples are vectors of (1 + ln tf) * idf over
+The vocabulary is learned from labelled rows: words, and beginnings of words, of whose examples a clearly larger share
+than usual is toxic, by a likelihood-ratio test that few random words pass. Documents and examples are vectors of (1 + ln tf) * idf over
 it. Examples lie in blocks; each term keeps its largest weight in each block. A query sums these to a bound for
 every block and reads blocks in falling order of the bound while it can still beat the k-th best, so the k nearest
 are exact. Votes weigh by squared similarity against the prior, and a monotone map fitted on the examples'
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 FIT_ROWS = 20_000
 TERMS = 4096
 STRENGTH = 15.0  # of the likelihood-ratio statistic: one in ten thousand random terms
-SHARE = 0.5  # of the examples with a term that are toxic, at least
+SHARE = 0.3  # of the examples with a term that are toxic, at least
 NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.3
