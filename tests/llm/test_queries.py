@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("~" if v is None or v != v else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("~" if str(v) in ("None", "<NA>", "nan") else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op8_url_filter", "op10_sharding"])
