@@ -20,9 +20,11 @@ def connect():
 
 
 def _cell(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if isinstance(v, str):
+        return v
+    if v is None or str(v) in ("<NA>", "nan", "NaT"):
         return "~"
-    if isinstance(v, str) or type(v).__name__ in ("bool", "bool_"):
+    if type(v).__name__ in ("bool", "bool_"):
         return str(v)
     try:
         f = float(v)
