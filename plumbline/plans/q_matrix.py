@@ -65,3 +65,11 @@ def _(t: Tables):
     m = F.col("model_id").cast("int")
     raw = t.full.withColumn("model_id", F.when(m < 6, F.concat(F.lit(" M"), m.cast("string"))).when(m < 12, F.concat(F.lit("m"), (m % 6).cast("string"), F.lit(" "))).otherwise(F.concat(F.lit("M"), "model_id")))
     return matrix.normalized_models(raw).select("model_id", "item_id", r9("score").alias("score"))
+
+
+@query("accuracy_at_all_levels", "SELECT model_id, subject, round(avg(score), 9) AS accuracy, count(*) AS cells FROM f GROUP BY GROUPING SETS ((model_id, subject), (model_id), (subject), ())")
+def _(t: Tables):
+    from plumbline.plans import views
+
+    views.register(t.spark, t.dir)
+    return t.spark.sql(views.ACCURACY_AT_ALL_LEVELS).withColumn("accuracy", r9("accuracy"))
