@@ -1,7 +1,8 @@
 """Operator 8: URL filtering with pattern rules that are indexed by their rarest literal token.
 
-A pattern rule names the literal tokens that any URL it matches must hold. How often each token occurs in the URLs
-decides which is rarest, and the rule is filed there. A URL's own tokens fetch the rules filed under them, and only
+A pattern rule names the literal tokens that any URL it matches must hold; where one of several must be there, it
+names these as a tuple. How often each occurs in the URLs decides which is rarest, and the rule is filed there: under
+the token, or under every token of the tuple. A URL's own tokens fetch the rules filed under them, and only
 those run their regular expression. Site rules (host and path prefix) are found by equality on the host and each of
 its parent domains; the longest that fits decides before any pattern.
 
@@ -29,7 +30,7 @@ class SiteRule(NamedTuple):
 class PatternRule(NamedTuple):
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str | tuple[str, ...], ...]  # every match holds each of these, of a tuple at least one
 
 
 # The site rules of the query's contract.
@@ -43,14 +44,14 @@ SITE_RULES = (
 PATTERN_RULES = (
     PatternRule("block", r"://[^/?#]*\bcasino\b", ("casino",)),
     PatternRule("block", r"://[^/?#]*\bpoker\b", ("poker",)),
-    PatternRule("block", r"://[^/?#]*\b(?:free|online|sport|sports)-bets?\b", ("bets",)),
+    PatternRule("block", r"://[^/?#]*\b(?:free|online|sport|sports)-bets?\b", (("bet", "bets"),)),
     PatternRule("block", r"://[^/?#]*\b(?:cheap|buy|online)-pills\b", ("pills",)),
     PatternRule("block", r"://[^/?#]*\bviagra\b", ("viagra",)),
     PatternRule("block", r"://[^/?#]*\badult\b", ("adult",)),
     PatternRule("block", r"://[^/?#]*\bporn\b", ("porn",)),
     PatternRule("block", r"://[^/?#]*\bxxx\b", ("xxx",)),
     PatternRule("block", r"://[^/?#]*\bspam\b", ("spam",)),
-    PatternRule("block", r"://[^/?#]*\bads?-(?:track|server|click)", ("ads", "track")),
+    PatternRule("block", r"://[^/?#]*\bads?-(?:track|server|click)", (("ad", "ads"),)),
     PatternRule("block", r"://[^/?#]*\bpayday-loans?\b", ("payday",)),
     PatternRule("block", r"://[^/?#]*\bwarez\b", ("warez",)),
 )
@@ -66,15 +67,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s).*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+# Letters that a pattern without regard to case takes for s, i and k, and that lower() leaves or makes two of.
+_LIKE_ASCII = str.maketrans("\u017f\u0131\u0130\u212a", "siik")
+
+
+def tokens_of(url: str) -> set[str]:
+    return set(re.split("[^a-z0-9]+", url.translate(_LIKE_ASCII).lower()))
+
+
+def _any_of(token: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (token,) if isinstance(token, str) else token
+
+
 def file_rules(patterns: Sequence[PatternRule], urls: DataFrame) -> dict[str | None, list[int]]:
     """Rule numbers by the rarest of their tokens over all URLs; under None those without one. The counts fetched
     are those of the rules' own tokens, so they are bounded by the rules."""
-    named = sorted({t for p in patterns for t in p.tokens})
+    named = sorted({t for p in patterns for one in p.tokens for t in _any_of(one)})
     tokens = urls.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
     counts = {r["token"]: r["count"] for r in tokens.where(F.col("token").isin(named)).groupBy("token").count().collect()} if named else {}
     out: dict[str | None, list[int]] = {}
     for k, rule in enumerate(patterns):
-        out.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)) if rule.tokens else None, []).append(k)
+        places = map(_any_of, rule.tokens)
+        for token in min(places, key=lambda ts: (sum(counts.get(t, 0) for t in ts), ts), default=(None,)):
+            out.setdefault(token, []).append(k)
     return out
 
 
@@ -98,7 +113,7 @@ def judge_urls(pages: DataFrame, sites: Sequence[SiteRule] = SITE_RULES, pattern
                     best = max(fits, key=lambda s: len(s.host + s.path))
                     out.append((best.host + best.path, best.verdict, None))
                     continue
-                tokens = set(re.split("[^a-z0-9]+", url.lower())) if url else set()
+                tokens = tokens_of(url) if url else set()
                 asked = sorted({k for t in (*tokens, None) for k in index.get(t, ())})
                 hit = next((k for k in asked if compiled[k].search(url or "")), None)
                 out.append((None, default if hit is None else patterns[hit].verdict, None if hit is None else patterns[hit].pattern))

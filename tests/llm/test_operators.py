@@ -314,6 +314,16 @@ def test_urls_like_brute_force(spark):
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_index_like_plain_patterns(spark):
+    hosts = [f"{a}-{b}" for a in ("free", "online", "sport", "sports") for b in ("bet", "bets")] + [f"{a}-{b}{c}" for a in ("ad", "ads") for b in ("track", "server", "click") for c in ("", "er", "s")]
+    hosts += [f"{a}-pills" for a in ("cheap", "buy", "online")] + ["payday-loan", "payday-loans", "ca\u017f\u0131no", "po\u212aER", "ads-other", "bets", "freebets"]
+    for common in ("ads", "track", "bet", "bets", "ad"):  # what is rare must not matter
+        urls = [f"https://{h}.example.edu/" for h in hosts] + [f"http://x.info/{common}/{i}" for i in range(30)]
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+        assert got == {i: brute_verdict(u) for i, u in enumerate(urls)}
+        assert all(got[i][3] == "block" for i in range(len(hosts) - 3))
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=a>Menu</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id=wrap><div class=sidebar><p>Side <a href=b>links</a></p></div><div class="post"><h2>Title &amp; more</h2>
 <p>First   paragraph with <b>bold</b> text, long enough to count.<p>Second paragraph<br>with a break and a <a href=c>link</a>.</p><ul><li>one<li>two</ul><script>var t="</p>";</script>
