@@ -1,29 +1,40 @@
-"""Operator 6: toxicity by nearest labelled examples of exact TF-IDF cosine, from a block-max inverted index.
+"""Operator 6: toxicity by nearest labelled examples of exact TF-IDF cosine.
 
-The vocabulary is learned from labelled rows: words, and beginnings of words, of whose examples a clearly larger share
-than usual is toxic, by a likelihood-ratio test that few random words pass. Documents and examples are vectors of (1 + ln tf) * idf over
-it. Examples lie in blocks; each term keeps its largest weight in each block. A query sums these to a bound for
-every block and reads blocks in falling order of the bound while it can still beat the k-th best, so the k nearest
-are exact. Votes weigh by squared similarity against the prior, and a monotone map fitted on the examples'
-leave-one-out votes makes them calibrated. A text without a term of the vocabulary has the share of toxic rows among
-such examples.
+Documents and examples are vectors of (1 + ln tf) * idf over all words of the examples; idf counts all documents. Every
+text is compared with every example, and the k nearest are exact. A word that no example holds has no place in these
+vectors: it would scale a text's similarities, not order them.
 
-The index holds at most ``fit_rows`` labelled rows, chosen by a hash of doc_id; rows held out (crc32 of the doc_id's
-text modulo 4 is 2) are never learned from. All rows are scored, each from its whole text alone.
+Besides, terms are learned from the labels: words, and beginnings of words, of whose examples a clearly larger share
+than usual is toxic, by a likelihood-ratio test that few random words pass. A block-max inverted index finds the nearest
+examples over these terms alone: examples lie in blocks, each term keeps its largest weight in each block, and a query
+reads blocks in falling order of the sum of these while it can still beat the k-th best. A text without such a term has
+the toxic share of examples that have none either.
 
-Defined cases: null and empty texts have no terms; without labels every score is 0; of equal similarities the
-smaller example id is nearer; rows that repeat a doc_id are scored each for itself.
+In both, votes weigh by squared similarity against the prior. A logistic regression on the log odds of the two votes,
+and a monotone map, both fitted on the examples' leave-one-out votes, give the score. ``nearest`` and ``similarity``
+are the neighbours over all words.
+
+The index holds at most ``fit_rows`` labelled rows, chosen by a hash of doc_id; the labels of rows held out (crc32 of the
+doc_id's text modulo 4 is 2) are never learned from. All rows are scored, each from its whole text.
+
+Defined cases: null and empty texts, and those that share no word with any example, have no neighbours; without labels
+every score is 0; of equal similarities the smaller example id is nearer; rows that repeat a doc_id are scored each for
+itself.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +44,9 @@ STRENGTH = 15.0  # of the likelihood-ratio statistic: one in ten thousand random
 SHARE = 0.3  # of the examples with a term that are toxic, at least
 NEAREST = 15
 BLOCK = 64
+DENSE = 512  # words whose weights are a matrix
+TOGETHER = 64  # texts that are compared at once
+ERROR = 5e-5  # of a similarity in single precision, at most
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -90,14 +104,12 @@ class Terms(dict):
         return got
 
 
-def bag(text: str | None, terms: Terms) -> tuple[tuple[int, int], ...]:
-    """(term number, count) of a text."""
-    if not text:
-        return ()
+def bag(words: Counter, terms: Terms) -> tuple[tuple[int, int], ...]:
+    """(term number, count) of a text's words."""
     counts: dict[int, int] = {}
-    for found in map(terms.__getitem__, _WORD.findall(text.lower())):
-        for k in found:
-            counts[k] = counts.get(k, 0) + 1
+    for w, c in words.items():
+        for k in terms[w]:
+            counts[k] = counts.get(k, 0) + c
     return tuple(sorted(counts.items()))
 
 
@@ -121,7 +133,6 @@ class Index:
                 self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], w)
         self.lists = {k: (np.array(a), np.array(b)) for k, (a, b) in lists.items()}
         self.places = {i: p for p, i in enumerate(self.ids.tolist())}
-        self.steps = (np.array([0.0]), np.array([prior]))
         self.seen: dict = {}
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -148,40 +159,197 @@ class Index:
             best = sorted(best, reverse=True)[:k]
         return [(s, p) for s, _, p in best]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        weight = [s * s for s, _ in near]
-        return (sum(w * self.y[p] for w, (_, p) in zip(weight, near, strict=True)) + 0.5 * self.prior) / (sum(weight) + 0.5)
-
-    def calibrate(self, bags: list, ids: list[int]) -> None:
-        """A monotone map from votes to shares, by pooling adjacent violators over leave-one-out votes."""
-        votes = [(self.vote(self.nearest(b, skip=self.places[i])), self.y[self.places[i]]) for b, i in zip(bags, ids, strict=True)]
-        pools: list[list[float]] = []
-        for v, y in sorted(votes):
-            pools.append([v, y, 1.0])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                _, s, n = pools.pop()
-                pools[-1][1] += s
-                pools[-1][2] += n
-        if pools:
-            self.steps = np.array([p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[2] + 1) for p in pools])
-
-    def score(self, counts) -> tuple[float, list[int], list[float]]:
-        """Calibrated score, and the evidence: ids and similarities of the nearest examples."""
+    def vote(self, counts, skip: int | None = None) -> float:
+        """The share of toxic examples among the nearest, by squared similarity and against the prior; without a term the
+        share among the examples that have none. ``skip`` is the id of an example to leave out."""
         if not counts:
-            return self.empty, [], []
-        if (known := self.seen.get(counts)) is None:
-            near = self.nearest(counts)
-            if not near:
-                known = self.empty, [], []
-            else:
-                known = float(np.interp(self.vote(near), *self.steps)), [int(self.ids[p]) for _, p in near], [s for s, _ in near]
+            return self.empty
+        if (known := self.seen.get((counts, skip))) is None:
+            known = vote(((s, self.y[p]) for s, p in self.nearest(counts, skip=self.places.get(skip))), self.prior)
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[counts] = known
+            self.seen[counts, skip] = known
         return known
 
 
-def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, int], Index]:
+class Words:
+    """Nearest examples by cosine over all words of the examples, exact.
+
+    Similarities to all examples are first taken in single precision: the words that most examples hold by a product of
+    matrices, all others from lists of the examples that hold them. Those within twice the error of the k-th best are
+    then worked out in double precision."""
+
+    def __init__(self, rows: np.ndarray, at: np.ndarray, counts: np.ndarray, ys: np.ndarray, ids: np.ndarray, idf: np.ndarray, prior: float):
+        """``rows`` holds the ends of the examples' parts of ``at`` and ``counts``; ``ids`` ascend."""
+        self.idf, self.prior, self.y, self.ids, self.at = idf, prior, ys, ids, at
+        self.places = {i: p for p, i in enumerate(ids.tolist())}
+        self.rows = np.r_[0, rows].astype(np.int64)
+        size = np.diff(self.rows)
+        place = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        weight = (1 + np.log(counts)) * idf[at]
+        self.weight = weight / np.maximum(np.sqrt(np.bincount(place, weights=weight**2, minlength=len(ids))), 1e-12)[place]
+        held = np.bincount(at, minlength=len(idf))
+        often = np.argsort(-held, kind="stable")[:DENSE]
+        self.column = np.full(len(idf), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        dense = self.column[at] >= 0
+        self.dense = np.zeros((len(often), len(ids)), dtype=np.float32)
+        self.dense[self.column[at[dense]], place[dense]] = self.weight[dense]
+        by = np.flatnonzero(~dense)
+        by = by[np.argsort(at[by], kind="stable")]
+        self.list_place, self.list_weight = place[by], self.weight[by].astype(np.float32)
+        self.start = np.r_[0, np.cumsum(np.where(self.column < 0, held, 0))].astype(np.int64)
+
+    def weights(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.idf[at]
+        return w / max(np.sqrt((w**2).sum()), 1e-12)
+
+    def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each bag similarities and places of the k nearest examples: falling similarity, then rising id. ``skip``
+        has for each bag the place of an example to leave out."""
+        full = np.zeros(len(self.idf))
+        for a in range(0, len(bags), TOGETHER):
+            some = bags[a : a + TOGETHER]
+            weights = [self.weights(*b) for b in some]
+            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
+            for row, (at, _), w in zip(q, some, weights, strict=True):
+                column = self.column[at]
+                row[column[column >= 0]] = w[column >= 0]
+            for j, (rough, (at, _), w) in enumerate(zip(q @ self.dense, some, weights, strict=True)):
+                if not len(at) or not len(self.ids):
+                    yield np.zeros(0), np.zeros(0, dtype=np.int64)
+                    continue
+                rare = self.column[at] < 0
+                n = self.start[at[rare] + 1] - self.start[at[rare]]
+                read = np.repeat(self.start[at[rare]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                rough = rough + np.bincount(self.list_place[read], weights=self.list_weight[read] * np.repeat(w[rare], n), minlength=len(self.ids))
+                if skip is not None:
+                    rough[skip[a + j]] = -1.0
+                least = np.partition(rough, -k)[-k] if len(rough) > k else 0.0
+                left = np.flatnonzero(rough >= max(least - 2 * ERROR, 0.0))
+                full[at] = w
+                n = self.rows[left + 1] - self.rows[left]
+                ends = np.cumsum(n)
+                read = np.repeat(self.rows[left] - ends + n, n) + np.arange(n.sum())
+                sums = np.r_[0.0, np.cumsum(full[self.at[read]] * self.weight[read])]
+                full[at] = 0.0
+                sims = np.round(sums[ends] - sums[ends - n], 12)
+                left, sims = left[sims > 0], sims[sims > 0]
+                best = np.lexsort((left, -sims))[:k]
+                yield sims[best], left[best]
+
+    def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float:
+        return vote(zip(near[0].tolist(), self.y[near[1]].tolist(), strict=True), self.prior)
+
+
+def vote(near: Iterable[tuple[float, float]], prior: float) -> float:
+    """The share of toxic ones among (similarity, label) of neighbours, by squared similarity and against the prior."""
+    bad, total = 0.5 * prior, 0.5
+    for s, y in near:
+        bad, total = bad + s * s * y, total + s * s
+    return float(bad / total)
+
+
+def words_of(text: str | None) -> Counter:
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def word_bag(words: Counter, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of the words that ``numbers`` holds."""
+    found = {k: c for w, c in words.items() if (k := numbers.get(w)) is not None}
+    return np.fromiter(found.keys(), dtype=np.int64, count=len(found)), np.fromiter(found.values(), dtype=float, count=len(found))
+
+
+class Model:
+    """What is sent to the workers; each builds the index of the words from the packed examples once."""
+
+    def __init__(self, terms: dict[str, int], marks: Index, examples: tuple[np.ndarray, ...], prior: float):
+        self.terms, self.marks, self.prior = terms, marks, prior
+        self.packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in examples]
+
+    @cached_property
+    def index(self) -> Words:
+        return Words(*(np.frombuffer(zlib.decompress(x), dtype=kind) for x, kind in self.packed), self.prior)
+
+    def judge(self, texts: list[str | None], words: dict[str, int], skip: list[int] | None = None) -> Iterator[tuple[float, float, np.ndarray, np.ndarray]]:
+        """The votes of the learned terms and of the words, and the nearest examples by words, of each text."""
+        terms = Terms(self.terms)
+        for a in range(0, len(texts), TOGETHER):
+            found = [words_of(t) for t in texts[a : a + TOGETHER]]
+            left = None if skip is None else skip[a : a + TOGETHER]
+            near = self.index.nearest([word_bag(w, words) for w in found], skip=None if left is None else [self.index.places[i] for i in left])
+            for j, (w, (sims, places)) in enumerate(zip(found, near, strict=True)):
+                yield self.marks.vote(bag(w, terms), None if left is None else left[j]), self.index.vote((sims, places)), sims, places
+
+
+@dataclass
+class Scale:
+    """Weights of the log odds of the two votes, and a monotone map of their sum to shares."""
+
+    weights: np.ndarray
+    steps: tuple[np.ndarray, np.ndarray]
+
+    def __call__(self, a: float, b: float) -> float:
+        return float(np.interp(float(sides(a, b) @ self.weights), *self.steps))
+
+
+def calibrate(votes: np.ndarray, y: np.ndarray, prior: float) -> Scale:
+    """By penalised logistic regression, then by pooling adjacent violators; ``votes`` are those of the examples, each
+    without itself."""
+    if not len(y) or y.min() == y.max():
+        return Scale(np.zeros(3), (np.array([0.0]), np.array([prior])))
+    x, w, penalty = np.array([sides(a, b) for a, b in votes]), np.zeros(3), np.array([1.0, 1.0, 1e-6])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    pools: list[list[float]] = []
+    for v, one in sorted(zip((x @ w).tolist(), y.tolist(), strict=True)):
+        pools.append([v, one, 1.0])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            _, s, n = pools.pop()
+            pools[-1][1] += s
+            pools[-1][2] += n
+    return Scale(w, (np.array([p[0] for p in pools]), np.array([(p[1] + prior) / (p[2] + 1) for p in pools])))
+
+
+def sides(a: float, b: float) -> np.ndarray:
+    """The log odds of both votes, and one."""
+    p = np.clip(np.array([a, b]), 1e-3, 1 - 1e-3)
+    return np.r_[np.log(p / (1 - p)), 1.0]
+
+
+def word_table(documents: DataFrame, sample: DataFrame) -> tuple[Broadcast, np.ndarray]:
+    """Numbers of all words of ``sample``, broadcast, and their idf over all of ``documents``."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(_WORD.findall((text or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    words = sorted(sample.select("text").mapInArrow(distinct, "word string").distinct().toArrow().column("word").to_pylist())
+    sent = documents.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = sent.value
+        df = np.zeros(len(numbers) + 1, dtype=np.int64)  # the last counts the documents
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                df[[k for w in set(_WORD.findall((text or "").lower())) if (k := numbers.get(w)) is not None]] += 1
+            df[-1] += batch.num_rows
+        at = np.flatnonzero(df)
+        for a in range(0, len(at), 100_000):
+            some = at[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["k", "n"])
+
+    counts = documents.select(F.col("text").cast("string")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(words) + 1)
+    df[counts.column("k").to_numpy()] = counts.column("n").to_numpy()
+    return sent, np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+
+def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Broadcast, Broadcast, Scale]:
     from plumbline.llm.quality import fit_sample
     from plumbline.llm.store import materialize, small_batches
 
@@ -193,33 +361,45 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     chosen = choose_terms(sample, bad, good) if bad and good else []
     numbers = {t: k for k, (t, _) in enumerate(chosen)}
     idf = np.log((1 + bad + good) / (1 + np.array([df for _, df in chosen], dtype=float))) + 1
+    words, word_idf = word_table(documents, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(numbers)
         for batch in batches:
-            bags = [bag(t, terms) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[x for kc in b for x in kc] for b in bags], pa.list_(pa.int32()))], names=["doc_id", "y", "bag"])
-
-    rows = sorted(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, bag array<int>").collect(), key=lambda r: r["doc_id"])
-    full = [r for r in rows if r["bag"]]
-    none = [r["y"] for r in rows if not r["bag"]]
+            found = [words_of(t) for t in batch.column(1).to_pylist()]
+            marks, bags = [bag(w, terms) for w in found], [word_bag(w, words.value) for w in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array([[x for kc in b for x in kc] for b in marks], pa.list_(pa.int32())), pa.array([b[0].astype("int32") for b in bags], pa.list_(pa.int32())), pa.array([b[1].astype("int32") for b in bags], pa.list_(pa.int32()))],
+                names=["doc_id", "y", "bag", "at", "count"],
+            )
+
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, bag array<int>, at array<int>, count array<int>").toArrow().sort_by("doc_id")
+    ids, ys = rows.column("doc_id").to_pylist(), [float(y > 0.5) for y in rows.column("y").to_pylist()]
+    marks = [tuple(zip(b[::2], b[1::2], strict=True)) for b in rows.column("bag").to_pylist()]
+    at, count = (rows.column(c).combine_chunks() for c in ("at", "count"))
+    examples = np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy(), count.flatten().to_numpy(), np.array(ys), np.array(ids, dtype=np.int64), word_idf
     prior = bad / max(bad + good, 1)
-    bags, ids = [tuple(zip(r["bag"][::2], r["bag"][1::2], strict=True)) for r in full], [r["doc_id"] for r in full]
-    index = Index(bags, [float(r["y"] > 0.5) for r in full], ids, idf, (sum(none) + prior) / (len(none) + 1) if rows else 0.0, prior)
-    index.calibrate(bags, ids)
-    return numbers, index
+    full, none = [e for e, b in enumerate(marks) if b], [y for b, y in zip(marks, ys, strict=True) if not b]
+    index = Index([marks[e] for e in full], [ys[e] for e in full], [ids[e] for e in full], idf, (sum(none) + prior) / (len(none) + 1), prior)
+    sent = documents.sparkSession.sparkContext.broadcast(Model(numbers, index, examples, prior))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(sent.value.judge(batch.column(1).to_pylist(), words.value, batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "y", "a", "b"])
+
+    got = sample.select("doc_id", "text", "y").mapInArrow(votes, "doc_id long, y double, a double, b double").toArrow().sort_by("doc_id")
+    return sent, words, calibrate(np.c_[got.column("a").to_numpy(), got.column("b").to_numpy()], (got.column("y").to_numpy() > 0.5).astype(float), prior)
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, nearest (ids), similarity of every row of ``documents``."""
-    numbers, index = learn(documents, labels, fit_rows)
-    sent = documents.sparkSession.sparkContext.broadcast((numbers, index))
+    sent, words, scale = learn(documents, labels, fit_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, index = sent.value
-        terms = Terms(numbers)
         for batch in batches:
-            got = [index.score(bag(t, terms)) for t in batch.column(1).to_pylist()]
+            model = sent.value
+            got = [(scale(a, b), model.index.ids[places], sims) for a, b, sims, places in model.judge(batch.column(1).to_pylist(), words.value)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["doc_id", "score", "nearest", "similarity"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -261,6 +261,28 @@ def test_block_max_index_is_exact():
         assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-9)
 
 
+def test_texts_without_learned_terms_have_the_nearest_examples(spark):
+    rng = random.Random(16)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [prose(rng, rng.randint(5, 60)).translate(letters) + (" vilewort" if i % 4 == 0 else "") for i in range(300)] + [None, "unheardof", prose(rng, 30).translate(letters)]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs(spark, texts), labelled(spark, [(i, 1, int(i % 4 == 0)) for i in range(300)])).collect()}
+    bags = [collections.Counter((t or "").split()) for t in texts]
+    examples = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    known, df = {w for i in examples for w in bags[i]}, collections.Counter(w for b in bags for w in b)
+
+    def vector(b):
+        v = {w: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) for w, c in b.items() if w in known}
+        return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    vectors = [vector(b) for b in bags]
+    for i, v in enumerate(vectors):
+        sims = sorted(((round(sum(x * vectors[e].get(w, 0.0) for w, x in v.items()), 12), -e) for e in examples), reverse=True)[:15]
+        want = [(s, -e) for s, e in sims if s > 0]
+        assert got[i]["similarity"] == pytest.approx([s for s, _ in want], abs=1e-9)
+        assert all(a == b or abs(s - t) < 1e-9 for a, b, s, t in zip(got[i]["nearest"], [e for _, e in want], got[i]["similarity"], [s for s, _ in want], strict=True))
+        assert len(want) == (0 if i in (300, 301) else 15)
+
+
 def test_edited_fingerprints(spark):
     rng = random.Random(9)
     texts = {10: prose(rng, 300), 3: None, 7: "é" * 11, 900: "a", 5: prose(rng, 40), 6: prose(rng, 40)}
