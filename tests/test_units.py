@@ -167,3 +167,14 @@ def test_plugins():
     assert psychometrics.plugin("scorer", "exact") is f and ("scorer", "exact") in psychometrics.plugins("scorer")
     with pytest.raises(ValueError):
         psychometrics.register("nothing", "x")
+
+
+def test_shingles_of_many_items_count_and_no_copy_is_lost(spark):
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [f"{common} x{i} y{i}" for i in range(510)] + [f"same words in {' '.join(f'z{k}' for k in range(9))}"] * 25
+    d = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    for least in (0.7, 0.8):
+        want = {(a, b) for a, s in enumerate(sets) for b, t in enumerate(sets) if len(s & t) >= least * len(s | t)}
+        got = forensics.shingle_candidates(d, d, least).collect()
+        assert len(got) == len(want) and {(r["left_id"], r["right_id"]) for r in got} == want
