@@ -111,6 +111,12 @@ def _(t: Tables):
     return a.join(b, F.expr("a.item_id < b.item_id")).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), X.minhash_similarity(F.col("a.h"), F.col("b.h")).alias("similarity"))
 
 
+@query("minhash_pairs", f""", s AS (SELECT item_id, {_TOK} AS t FROM benchmark), m AS (SELECT item_id, unnest(range(0, 16)) AS k, t FROM s), mv AS (SELECT item_id, k, coalesce(list_min(list_transform(t, lambda x: substr(sha256(CAST(k AS VARCHAR) || '|' || x), 1, 16))), '0000000000000000') AS v FROM m)
+SELECT a.item_id AS a, b.item_id AS b, count(*) / 16.0 AS similarity FROM mv a JOIN mv b ON a.k = b.k AND a.v = b.v AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id""")
+def _(t: Tables):
+    return O.minhash_pairs(_bench(t).select("item_id", X.minhash(X.tokens(F.col("text")), 16).alias("h")), "h")
+
+
 @query("split_leakage", f""", k AS (SELECT doc_id, source AS split, md5({_SQZ}) AS x, lang || CAST(n_chars % 50 AS VARCHAR) AS y FROM documents), c AS (SELECT 'exact' AS kind, x AS key, split, count(*) AS c FROM k GROUP BY ALL UNION ALL SELECT 'source', y, split, count(*) FROM k GROUP BY ALL)
 SELECT a.kind, a.split AS split_a, b.split AS split_b, CAST(sum(a.c * b.c) AS BIGINT) AS pairs FROM c a JOIN c b ON a.kind = b.kind AND a.key = b.key AND a.split < b.split GROUP BY ALL""")
 def _(t: Tables):

@@ -178,3 +178,10 @@ def test_shingles_of_many_items_count_and_no_copy_is_lost(spark):
         want = {(a, b) for a, s in enumerate(sets) for b, t in enumerate(sets) if len(s & t) >= least * len(s | t)}
         got = forensics.shingle_candidates(d, d, least).collect()
         assert len(got) == len(want) and {(r["left_id"], r["right_id"]) for r in got} == want
+
+
+def test_minhash_pairs_of_all_items(spark):
+    h = {5: ["a", "b", "c", "d"], 40: ["a", "x", "c", "y"], 41: ["a", "b", "c", "d"], 900: ["q", "r", "s", "t"]}
+    d = spark.createDataFrame(list(h.items()), "item_id long, h array<string>")
+    got = {(r["a"], r["b"]): r["similarity"] for r in forensics.minhash_pairs(d, "h").collect()}
+    assert got == {(5, 40): 0.5, (5, 41): 1.0, (40, 41): 0.5}
