@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WIDTH = 5
-FRACTION = 1 / 16
+FRACTION = 1 / 4
 GROUP = 512  # documents of a range of ids that are ordered together
 RANGES = 1_000_000  # most ranges: bounds the table of their first documents, which is broadcast
 

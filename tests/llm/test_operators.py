@@ -302,6 +302,13 @@ def test_edited_fingerprints(spark):
     assert fingerprint.edited_fingerprints(df.limit(0)).count() == 0
 
 
+def test_short_texts_are_estimated_well(spark):
+    rng = random.Random(21)
+    df = spark.createDataFrame([(i, prose(rng, 80)) for i in range(200)], "doc_id long, text string")
+    got, exact = ({r["doc_id"]: r["near_edited"] for r in fingerprint.edited_fingerprints(df, **k).collect()} for k in ({}, {"fraction": 1 - 1e-9}))
+    assert sum(abs(got[i] - exact[i]) > 0.2 for i in got) <= 10 and sum(got[i] == 0 for i in got) <= 2
+
+
 def test_containment_of_unequal_documents(spark):
     rng = random.Random(11)
     long = prose(rng, 4000)
