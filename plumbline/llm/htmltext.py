@@ -174,25 +174,26 @@ def _main(root: Element) -> tuple[Element, float]:
     return best, least
 
 
-def _blocks(node: Element, threshold: float, top: bool, out: list[list[str]]) -> None:
+def _blocks(top: Element, threshold: float) -> list[list[str]]:
     """Text of the kept elements; a block element starts and ends a block."""
-    if not top and node.tag in ("div", "ul", "ol", "section", "table", "dl") and node.density < threshold and node.link_chars > 0.5 * node.chars:
-        return
-    block = node.tag in BLOCK
-    if block:
-        out.append([])
-    for c in node.children:
-        if isinstance(c, str):
-            out[-1].append(c)
-        else:
-            if c.tag == "br":
-                out[-1].append(" ")
-            elif c.tag == "hr":
+    out: list[list[str]] = [[]]
+    stack: list[Element | str | None] = [top]
+    while stack:
+        node = stack.pop()
+        if node is None:
+            out.append([])
+        elif isinstance(node, str):
+            out[-1].append(node)
+        elif node.tag == "br" and node is not top:
+            out[-1].append(" ")
+        elif node.tag == "hr" and node is not top:
+            out.append([])
+        elif node is top or not (node.tag in ("div", "ul", "ol", "section", "table", "dl") and node.density < threshold and node.link_chars > 0.5 * node.chars):
+            if node.tag in BLOCK:
                 out.append([])
-            else:
-                _blocks(c, threshold, False, out)
-    if block:
-        out.append([])
+                stack.append(None)
+            stack += reversed(node.children)
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -202,19 +203,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     _measure(root)
     node, threshold = _main(root)
-    out: list[list[str]] = [[]]
-    try:
-        _blocks(node, threshold, True, out)
-    except RecursionError:  # elements nested thousands deep: all their text, without blocks
-        stack, flat = [node], []
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                flat.append(x)
-            else:
-                stack += reversed(x.children)
-        out = [flat]
-    texts = (" ".join("".join(b).split()) for b in out)
+    texts = (" ".join("".join(b).split()) for b in _blocks(node, threshold))
     return "\n\n".join(t for t in texts if t)
 
 

@@ -365,6 +365,10 @@ def test_main_text():
     assert htmltext.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_deep_pages_keep_their_blocks():
+    assert htmltext.main_text("<article>" + "<div>" * 3000 + "<p>one</p><p>two<br>three</p>") == "one\n\ntwo three"
+
+
 def test_extract_keeps_every_row(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>a", "z")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
