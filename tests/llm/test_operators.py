@@ -369,6 +369,64 @@ def test_deep_pages_keep_their_blocks():
     assert htmltext.main_text("<article>" + "<div>" * 3000 + "<p>one</p><p>two<br>three</p>") == "one\n\ntwo three"
 
 
+def test_density_alone_selects():
+    paragraphs = "".join(f"<p>{'word ' * 12}{i}</p>" for i in range(6))
+    for page in (f"<body><div>{paragraphs}</div></body>", f"<body><article>{paragraphs}</article></body>", f"<body><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><div>{paragraphs}</div><p>ad</p></body>"):
+        assert htmltext.main_text(page).split("\n\n") == [f"{'word ' * 12}{i}" for i in range(6)]
+
+
+def test_split_articles_stay_whole():
+    part = lambda k, n: f"<h2>Head {k}</h2><div class=part>{''.join(f'<p>some text of part {k} and line {i}</p>' for i in range(n))}</div>"
+    got = htmltext.main_text(f"<body><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>{part(1, 30)}{part(2, 20)}</body>").split("\n\n")
+    assert len(got) == 52 and got[0] == "Head 1" and got[31] == "Head 2" and got[-1] == "some text of part 2 and line 19"
+
+
+def test_only_named_furniture_goes():
+    inside = "<h1>T</h1><p>text that is long enough to stay here</p><div class='related-work'>Related work stays</div><figure><img><figcaption>Caption</figcaption></figure><p class='form'>form of verse</p><div class='ad-free-article'>free</div>"
+    gone = "<div class='comment-list'>x</div><div class='ad'>buy</div><div id='cookie-notice'>c</div><div class='left-sidebar'>s</div><form>f<fieldset>g</fieldset></form><div role=navigation>n</div><div hidden>h</div>"
+    assert htmltext.main_text(f"<article>{inside}{gone}</article>") == "T\n\ntext that is long enough to stay here\n\nRelated work stays\n\nCaption\n\nform of verse\n\nfree"
+
+
+def test_one_behaviour_at_every_depth():
+    page = "<article><p>A one</p><p>B two</p>{}deep<p>C three</p></article>"
+    assert htmltext.main_text(page.format("<span>" * 3)) == htmltext.main_text(page.format("<span>" * 3000)) == "A one\n\nB two\n\ndeep\n\nC three"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    def took(make, n):
+        page, began = make(n), time.process_time()
+        htmltext.main_text(page)
+        return time.process_time() - began
+
+    for make in (lambda n: '<a "x ' * n, lambda n: "<div>" * n, lambda n: "<i>" * n + "<b></b></b>" * n, lambda n: "<b><table>" + "<i>" * n + "</b>" * n, lambda n: "<p a='>" * n, lambda n: "<!-- " * n, lambda n: "<script>" * n):
+        assert took(make, 40_000) < 20 * took(make, 5_000) + 0.2
+
+
+def test_scripts_hide_their_markup():
+    assert htmltext.main_text("<body><script>var s = \"<b title='\";</script><p>one two</p><p>three < four &lt; five</p></body>") == "one two\n\nthree < four < five"
+
+
+def test_pages_like_their_articles(spark):
+    """The article element's own text, without markup, is what the densities find on every page of the table."""
+    import html
+    import os
+    import re
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: " ".join(r["text"].split()) for r in htmltext.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|<footer|$)", r["html"], re.S)[1]
+        assert got[r["page_id"]] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_extract_of_nothing(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_extract_keeps_every_row(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>a", "z")], "page_id long, url string, html string, text string")
     got = htmltext.extract(df).collect()
