@@ -57,29 +57,41 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         low, high = high, min(high + ROUND, 2 * BITS)
 
 
-def shard_rows(documents: DataFrame, key: str = "doc_id", limit: int = LIMIT, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """carry..., shard_id (bits), depth, n_bytes, shard_bytes, oversize for every row of ``documents``."""
-    rows = documents.select(*carry, key_hash(F.col(key)).alias("h"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("place"))
+def _sharded(documents: DataFrame, key: str, limit: int) -> DataFrame:
+    """row (all columns), shard_id, depth, n_bytes, shard_bytes, oversize. The input's row travels as one column, so its
+    names can't clash with those made here."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = documents.select(whole, key_hash(F.col(f"`{key}`")).alias("h"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("place"))
     rows = materialize(rows.withColumn("h2", F.shiftrightunsigned(F.xxhash64("place"), 4)).withColumn("h2", F.col("h2").bitwiseAND((1 << BITS) - 1)))
     usual, large = rows.where(F.col("n_bytes") <= limit), rows.where(F.col("n_bytes") > limit)
     shards = materialize(directory(usual, limit))
     depths = sorted(r[0] for r in shards.select("at.d").distinct().collect())  # at most 121 numbers
     name = F.expr(f"if(at.d = 0, '', concat(lpad(bin(at.p), least(at.d, {BITS}), '0'), if(at.d > {BITS}, lpad(bin(at.q), at.d - {BITS}, '0'), '')))")
-    ask = F.explode(F.array(*[_prefix(f"{d}") for d in depths])) if depths else F.lit(None)
-    fields = [F.col(c) for c in carry]
     if depths:
-        met = usual.withColumn("at", ask).join(shards, "at").select(*fields, name.alias("shard_id"), F.col("at.d").alias("depth"), "n_bytes", "shard_bytes", F.lit(False).alias("oversize"))
+        at = F.explode(F.array(*[_prefix(f"{d}") for d in depths]))
+        met = usual.withColumn("at", at).join(shards, "at").select("row", name.alias("shard_id"), F.col("at.d").alias("depth"), "n_bytes", "shard_bytes", F.lit(False).alias("oversize"))
     else:
-        met = usual.where("false").select(*fields, F.lit("").alias("shard_id"), F.lit(0).alias("depth"), "n_bytes", F.col("n_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"))
+        met = usual.where("false").select("row", F.lit("").alias("shard_id"), F.lit(0).alias("depth"), "n_bytes", F.col("n_bytes").alias("shard_bytes"), F.lit(False).alias("oversize"))
     own = F.concat(F.lit("big-"), F.lpad(F.hex("h"), 15, "0"), F.lit("-"), F.col("place").cast("string"))
-    alone = large.select(*fields, own.alias("shard_id"), F.lit(0).alias("depth"), "n_bytes", F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversize"))
-    return met.unionByName(alone)
+    return met.unionByName(large.select("row", own.alias("shard_id"), F.lit(0).alias("depth"), "n_bytes", F.col("n_bytes").alias("shard_bytes"), F.lit(True).alias("oversize")))
 
 
-def write_shards(documents: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> None:
-    """Write ``documents`` with a file folder for each shard."""
-    kept = shard_rows(documents, key, limit, tuple(documents.columns))
-    kept.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+def shard_rows(documents: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
+    """The key, shard_id (bits), depth, n_bytes, shard_bytes, oversize for every row of ``documents``."""
+    out = _sharded(documents.select(key, "text") if key != "text" else documents.select("text"), key, limit)
+    return out.select(F.col(f"row.{key}").alias(key), "shard_id", "depth", "n_bytes", "shard_bytes", "oversize")
+
+
+def write_shards(documents: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> str:
+    """Write ``documents`` with a folder for each shard; gives the name of the column that names the folders: shard_id,
+    with underscores behind it while the input has such a column. Its values have an s before the bits, lest readers take
+    01 and 1 for one number."""
+    name = "shard_id"
+    while name.lower() in map(str.lower, documents.columns):
+        name += "_"
+    rows = _sharded(documents, key, limit).select("row.*", F.concat(F.lit("s"), "shard_id").alias(name))
+    rows.repartition(name).write.partitionBy(name).parquet(path)
+    return name
 
 
 OP10_SQL = f"""
