@@ -1,11 +1,14 @@
 """Operator 5: lines that a site repeats, by their share of the site's pages.
 
-A line is boilerplate of a site when the site's pages that contain it are more than ``ratio`` of all its pages, and
-at least ``least`` of them. Exact copies of a page within a site count once, in both numbers, so that a page that is
-published many times isn't taken for boilerplate.
+A line is boilerplate of a page when more than ``ratio`` of the site's other pages contain it as well; this one rule
+holds for sites of every size, and a line on one page alone is never boilerplate. Exact copies of a page within a site
+count once, in both numbers, so that a page that is published many times isn't taken for boilerplate. The ratio is within
+a site: a passage that repeats across sites, a few times on each, is out of this method's reach.
 
 Defined cases: lines are compared after trimming blanks and tabs; blank lines are never counted nor dropped; a null
-text stays null; a null site is a site of its own; a page of which all lines go keeps its row with an empty text.
+text stays null; a null site is a site of its own; a page of which all lines go keeps its row with an empty text; rows
+that repeat a doc_id are pages each for itself; other columns of any name come back as they are, and lines_dropped is
+added unless the input has it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,8 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.store import materialize
 
 RATIO = 0.075
-LEAST = 6
-SENT = 200_000  # boilerplate lines that are broadcast; more are joined by site
+SENT = 200_000  # boilerplate lines that are broadcast; more are joined by site, with the same result
 PARTS = 64  # parts of a site in that join
 
 
@@ -25,35 +27,40 @@ def _line_key(line: Column) -> Column:
     return F.when(F.trim(F.translate(line, "\t\r", "  ")) == "", F.lit(None)).otherwise(F.xxhash64(F.trim(F.translate(line, "\t\r", "  "))))
 
 
-def boilerplate(documents: DataFrame, site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def _site(site: str) -> Column:
+    return F.coalesce(F.col(f"`{site}`").cast("string"), F.lit(""))
+
+
+def boilerplate(documents: DataFrame, site: str = "source", ratio: float = RATIO) -> DataFrame:
     """site, line (key of a boilerplate line) of every site. A site has at most (mean distinct lines a page) / ratio."""
-    pages = documents.where("text is not null").select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64("text").alias("page"), "text")
+    pages = documents.where("text is not null").select(_site(site).alias("site"), F.xxhash64("text").alias("page"), "text")
     total = pages.groupBy("site").agg(F.count_distinct("page").alias("pages"))
     lines = pages.select("site", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _line_key))).alias("line")).where("line is not null")
-    often = lines.groupBy("site", "line", "page").agg(F.lit(1).alias("one")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return often.join(total, "site").where(F.col("n") > ratio * F.col("pages")).select("site", "line")
+    often = lines.groupBy("site", "line", "page").agg(F.lit(1).alias("one")).groupBy("site", "line").agg(F.count("*").alias("n")).where("n > 1")
+    return often.join(total, "site").where(F.col("n") - 1 > ratio * (F.col("pages") - 1)).select("site", "line")
 
 
-def drop_boilerplate(documents: DataFrame, site: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_boilerplate(documents: DataFrame, site: str = "source", ratio: float = RATIO) -> DataFrame:
     """``documents`` without boilerplate lines: text is replaced, n_chars (if there) counts it anew; lines_dropped is added."""
-    found = materialize(boilerplate(documents, site, ratio, least))
+    found = materialize(boilerplate(documents, site, ratio))
     few = found.count() <= SENT
-    lists = found.groupBy("site").agg(F.collect_list("line").alias("_lines"))
-    docs = documents.withColumn("_site", F.coalesce(F.col(site).cast("string"), F.lit("")))
+    lists = found.groupBy("site").agg(F.collect_list("line").alias("lines"))
+    # the row travels as one column, so names of the input can't clash with those made here
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _site(site).alias("site"), F.col("text").alias("text"))
     if few:
-        docs = docs.join(F.broadcast(lists.withColumnRenamed("site", "_site")), "_site", "left")
+        docs = docs.join(F.broadcast(lists), "site", "left")
     else:
-        parts = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumnRenamed("site", "_site")
-        docs = docs.withColumn("_part", F.pmod(F.xxhash64(*documents.columns), F.lit(PARTS)).cast("int")).join(parts, ["_site", "_part"], "left").drop("_part")
+        parts = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        docs = docs.withColumn("part", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(PARTS)).cast("int")).join(parts, ["site", "part"], "left")
     lines = F.split("text", "\n", -1)
     # a blank line's key is null, for which array_contains is null: kept
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("_lines", _line_key(line)), F.lit(False)))
-    docs = docs.withColumn("_kept", F.when(F.col("_lines").isNull(), F.lit(None)).otherwise(kept))
-    new = {"lines_dropped": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")), "text": F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))}
-    docs = docs.withColumns(new).drop("_kept", "_lines", "_site")
-    if "n_chars" in documents.columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
-    return docs
+    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("lines", _line_key(line)), F.lit(False)))
+    docs = docs.select("row", "text", F.when(F.col("lines").isNotNull(), kept).alias("kept"))
+    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("kept"))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
+    new = {"text": text, "n_chars": F.length(text).cast(dict(documents.dtypes).get("n_chars", "long"))}
+    columns = [new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in documents.columns]
+    return docs.select(*columns, *([] if "lines_dropped" in documents.columns else [dropped.alias("lines_dropped")]))
 
 
 def _sql(table: str = "documents") -> str:
@@ -65,9 +72,9 @@ def _sql(table: str = "documents") -> str:
         SELECT site, line, count(*) AS n FROM (
           SELECT DISTINCT coalesce(source, '') AS site, text, trim(translate(line, chr(9) || chr(13), '  ')) AS line
           FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM {table}) WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> '')
-        GROUP BY ALL HAVING count(*) >= {LEAST}) o
+        GROUP BY ALL HAVING count(*) > 1) o
       JOIN (SELECT coalesce(source, '') AS site, count(DISTINCT text) AS pages FROM {table} GROUP BY ALL) t ON t.site = o.site
-      WHERE o.n > {RATIO} * t.pages GROUP BY o.site) b ON b.site = coalesce(p.source, '')"""
+      WHERE o.n - 1 > {RATIO} * (t.pages - 1) GROUP BY o.site) b ON b.site = coalesce(p.source, '')"""
 
 
 OP5_SQL = f"SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM ({_sql()})"
