@@ -2,14 +2,16 @@
 
 A logistic model over character and repetition statistics of the whole text gives each document's own evidence.
 Grouped aggregates of that evidence give a posterior mean for each host, shrunk to the global mean, and for each
-host and path, shrunk to its host's. The shrinkage weights come from the spread between hosts (method of moments),
-so sparse sites stay near the prior. A document's odds are then corrected by the odds of its site without itself.
+host and path, shrunk to its host's. Both levels have a shrinkage weight of their own, from the spread between hosts and
+between the paths of a host (method of moments), so sparse sites stay near the prior. A document's odds are then
+corrected by the odds of its site without itself.
 
 The model is fitted on at most ``fit_rows`` labelled rows, chosen by a hash of doc_id; everything else covers all rows.
 
 Defined cases: a null or empty text has all statistics 0; null hosts and paths are a site of their own; without
 labels of both kinds every document's evidence is the prior (0.5 without labels) and all are kept; rows that repeat
-a doc_id are judged each for itself.
+a doc_id are judged each for itself; of clashing labels of a doc_id the better one counts; columns of any name come back
+as they are; an empty table gives no rows. Sites are broadcast or joined by shuffling, with the same result.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.store import materialize, small_batches
 from plumbline.llm.textvec import sequence_hash, word_lists
@@ -53,7 +56,7 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> dict:
-    """Penalised logistic regression by Newton steps on standardised features; reports held-out accuracy of a fifth."""
+    """Penalised logistic regression by Newton steps on standardised features."""
     if len(y) == 0 or y.min() == y.max():
         prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return {"mean": np.zeros(N_FEATURES), "scale": np.ones(N_FEATURES), "weights": np.r_[np.zeros(N_FEATURES), np.log(prior / (1 - prior))], "learned": False}
@@ -106,8 +109,7 @@ def with_evidence(documents: DataFrame, model: dict, *carry: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], names=[*batch.schema.names[:-1], "evidence"])
 
     rows = documents.select(*carry, F.col("text").cast("string").alias("_text"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{kinds}, evidence double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("evidence", T.DoubleType())]))
 
 
 def _logit(p: Column) -> Column:
@@ -115,19 +117,28 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _shrinkage(n: float, groups: int, squares: float, spread: float, within: float) -> float:
+    """How many rows of a group weigh as much as the mean above it, by moments: of groups of n_k rows (``squares`` is the
+    sum of n_k squared) E[spread] = groups * within + (n - squares / n) * between, ``groups`` less the means estimated."""
+    between = max((spread - groups * within) / max(n - squares / max(n, 1), 1e-9), 1e-6) if groups > 0 else 1e-6
+    return float(min(max(within / between - 1, 2.0), 1000.0))
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
-    """host, path, and of each its pages, evidence sum and posterior mean of the host; global prior and both weights."""
+    """host, path, and of each its pages and evidence sum; global prior and the weights of hosts and of paths."""
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("path_n"), F.sum("evidence").alias("path_sum"))
-    hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"))
-    row = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_sum").alias("s"), F.count("*").alias("h"), F.sum(F.pow(F.col("host_sum") / F.col("host_n"), 2) * F.col("host_n")).alias("q"), F.sum(F.col("host_n") * F.col("host_n")).alias("nn")).first()
-    n, s, h = row["n"] or 0, row["s"] or 0.0, row["h"] or 0
-    prior = s / n if n else 0.5
+    hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), F.sum("path_sum").alias("host_sum"), F.count("*").alias("paths"), F.sum(F.pow(F.col("path_sum") / F.col("path_n"), F.lit(2)) * F.col("path_n")).alias("q"), (F.sum(F.col("path_n") * F.col("path_n")) / F.sum("path_n")).alias("nn"))
+    mean = F.col("host_sum") / F.col("host_n")
+    row = hosts.agg(
+        F.sum("host_n").alias("n"), F.sum("host_sum").alias("s"), F.count("*").alias("h"), F.sum(F.col("host_n") * mean * mean).alias("q"), F.sum(F.col("host_n") * F.col("host_n")).alias("nn"),
+        F.sum(F.col("q") - F.col("host_n") * mean * mean).alias("path_spread"), F.sum(F.col("paths") - 1).alias("path_groups"), F.sum("nn").alias("path_nn"), F.sum(F.col("host_n") * mean * (1 - mean)).alias("path_within"),
+    ).first()
+    n, h = row["n"] or 0, row["h"] or 0
+    prior = row["s"] / n if n else 0.5
     within = max(prior * (1 - prior), 1e-6)
-    # between-host variance, by moments: E[sum n (m - g)^2] = (h - 1) within + (n - sum n^2 / n) between
-    spread = (row["q"] or 0.0) - n * prior * prior
-    between = max((spread - (h - 1) * within) / max(n - (row["nn"] or 0) / max(n, 1), 1e-9), 1e-6) if h > 1 else 1e-6
-    weight = min(max(within / between - 1, 2.0), 1000.0)
-    return paths.join(hosts, "host").withColumns({"prior": F.lit(float(prior)), "weight": F.lit(float(weight))})
+    weight = _shrinkage(n, h - 1, row["nn"] or 0, (row["q"] or 0.0) - n * prior * prior, within)
+    path_weight = _shrinkage(n, row["path_groups"] or 0, n * (row["path_nn"] or 0), row["path_spread"] or 0.0, max((row["path_within"] or 0.0) / max(n, 1), 1e-6))
+    return paths.join(hosts.select("host", "host_n", "host_sum"), "host").withColumns({"prior": F.lit(float(prior)), "weight": F.lit(weight), "path_weight": F.lit(path_weight)})
 
 
 def _at_sites(scored: DataFrame, sites: DataFrame) -> DataFrame:
@@ -144,29 +155,25 @@ def judge(scored: DataFrame, threshold: float = THRESHOLD, sites: DataFrame | No
     out = _at_sites(scored, materialize(site_posteriors(scored)) if sites is None else sites)
     own = F.col("evidence")
     host = (F.col("host_sum") - own + F.col("weight") * F.col("prior")) / (F.col("host_n") - 1 + F.col("weight"))
-    path = (F.col("path_sum") - own + F.col("weight") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("weight"))
+    path = (F.col("path_sum") - own + F.col("path_weight") * F.col("host_posterior")) / (F.col("path_n") - 1 + F.col("path_weight"))
     out = out.withColumn("host_posterior", host).withColumn("path_posterior", path)
     score = 1 / (1 + F.exp(-(_logit(own) + _logit(F.col("path_posterior")) - _logit(F.col("prior")))))
     out = out.withColumn("score", score).withColumn("keep", F.col("score") >= threshold)
-    return out.drop("path_n", "path_sum", "host_n", "host_sum", "prior", "weight")
-
-
-def _sited(documents: DataFrame, host: str, path: str) -> DataFrame:
-    return documents.withColumns({"_host": F.coalesce(F.col(host).cast("string"), F.lit("")), "_path": F.coalesce(F.col(path).cast("string"), F.lit(""))})
+    return out.drop("path_n", "path_sum", "host_n", "host_sum", "prior", "weight", "path_weight")
 
 
 def classify(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, host, path, evidence, host_posterior, path_posterior, score, keep of every row of ``documents``."""
     model = learn(documents, labels, fit_rows)
-    scored = with_evidence(_sited(documents, host, path), model, "doc_id", "_host", "_path")
-    return judge(materialize(scored.withColumnsRenamed({"_host": "host", "_path": "path"})), threshold)
+    rows = documents.select("doc_id", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((host, "host"), (path, "path"))], F.col("text").alias("text"))
+    return judge(materialize(with_evidence(rows, model, "doc_id", "host", "path")), threshold)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that ``classify`` keeps, with their columns. Texts aren't shuffled while the sites are few."""
     model = learn(documents, labels, fit_rows)
     # the row travels as one column, so names of the input can't clash with those made here
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), "text")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"), F.col("text").alias("text"))
     sites = materialize(site_posteriors(with_evidence(rows, model, "host", "path")))
     judged = judge(with_evidence(rows, model, "row", "host", "path"), threshold, sites)
     return judged.where("keep").select("row.*")
