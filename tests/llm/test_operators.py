@@ -198,6 +198,25 @@ def test_boilerplate_by_shuffle(spark, monkeypatch):
     assert {r["text"] for r in linededup.drop_boilerplate(d).collect()} == {f"body {i}" for i in range(30)}
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["_site", "_kept", "_lines", "_part", "row", "site", "lines", "kept", "lines_dropped", "my col"]
+    df = docs(spark, [f"Menu\nbody {i}" for i in range(30)] + [None, ""]).select("*", *[F.lit(n).alias(n) for n in names])
+    for sent in (200_000, -1):
+        linededup.SENT, old = sent, linededup.SENT
+        got = linededup.drop_boilerplate(df)
+        linededup.SENT = old
+        rows = {r["doc_id"]: r for r in got.collect()}
+        assert got.columns == df.columns and all(r[n] == n for r in rows.values() for n in names)
+        assert rows[3]["text"] == "body 3" and rows[3]["n_chars"] == 6 and rows[30]["text"] is None and rows[31]["text"] == ""
+
+
+def test_small_sites_go_by_the_ratio_alone(spark):
+    alone = docs(spark, ["Menu\nonly page"])
+    assert linededup.drop_boilerplate(alone).first()["text"] == "Menu\nonly page"
+    two = {r["text"] for r in linededup.drop_boilerplate(docs(spark, ["Menu\na", "Menu\nb"])).collect()}
+    assert two == {"a", "b"}
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -221,6 +240,37 @@ def test_sites_joined_in_parts(spark, monkeypatch):
     assert sorted(r["score"] for r in quality.judge(rows).collect()) == pytest.approx(want)
 
 
+def test_posteriors_like_a_plain_version(spark):
+    """The whole judgement from the evidence on, worked out row by row."""
+    rng = random.Random(15)
+    rows = [(f"h{h}", f"p{p}", min(max(rng.gauss(0.5 + 0.04 * h - 0.05 * p, 0.1), 0.01), 0.99)) for h in range(6) for p in range(3) for _ in range(rng.randint(1, 30))]
+    n, prior = len(rows), sum(e for *_, e in rows) / len(rows)
+    mean = lambda xs: sum(xs) / len(xs)
+    of_host = {h: [e for a, _, e in rows if a == h] for h in {r[0] for r in rows}}
+    of_path = {k: [e for a, b, e in rows if (a, b) == k] for k in {r[:2] for r in rows}}
+
+    def weight(spread, groups, squares, within):
+        return min(max(within / max((spread - groups * within) / (n - squares), 1e-6) - 1, 2.0), 1000.0)
+
+    w_host = weight(sum(len(x) * (mean(x) - prior) ** 2 for x in of_host.values()), len(of_host) - 1, sum(len(x) ** 2 for x in of_host.values()) / n, prior * (1 - prior))
+    w_path = weight(sum(len(x) * (mean(x) - mean(of_host[k[0]])) ** 2 for k, x in of_path.items()), len(of_path) - len(of_host), sum(len(x) ** 2 / len(of_host[k[0]]) for k, x in of_path.items()), sum(len(x) * mean(x) * (1 - mean(x)) for x in of_host.values()) / n)
+    logit = lambda p: math.log(p / (1 - p))
+    want = []
+    for h, p, e in rows:
+        host = (sum(of_host[h]) - e + w_host * prior) / (len(of_host[h]) - 1 + w_host)
+        path = (sum(of_path[h, p]) - e + w_path * host) / (len(of_path[h, p]) - 1 + w_path)
+        want.append(1 / (1 + math.exp(-(logit(e) + logit(path) - logit(prior)))))
+    got = quality.judge(spark.createDataFrame(rows, "host string, path string, evidence double"))
+    assert sorted(r["score"] for r in got.collect()) == pytest.approx(sorted(want))
+
+
+def test_quality_stage_with_odd_columns(spark):
+    d = docs(spark, ["plain words in a line"] * 5 + [None, ""]).select("*", F.lit(1).alias("my col"), F.lit(2).alias("host"), F.lit(3).alias("keep"))
+    kept = quality.keep_good(d, labelled(spark, [(0, 1, 0)]))
+    assert kept.columns == d.columns and kept.count() == 7
+    assert quality.keep_good(d.limit(0), labelled(spark, [(0, 1, 0)])).count() == 0 and quality.classify(d.limit(0), labelled(spark, [])).count() == 0
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.9)] * 200 + [("small", "a", 0.1)] + [("mid", "b", 0.5)] * 20
     out = quality.judge(spark.createDataFrame(rows, "host string, path string, evidence double"))
@@ -336,13 +386,37 @@ def brute_verdict(url):
 
 
 def test_urls_like_brute_force(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/7x?q", "https://a.example.com/en/71#t", "http://b.net/de/8", "http://example.net/de/81", "http://xexample.net/de/8", "http://org/es/", "http://a.org?x=/es/", "http://casino-win.info/a", "http://free-bets.x.io", "http://a.b/casino", "ftp://x.com/en/://y", "http://com/en/", "http://nocasino.io/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://Example.COM/en/7x?q", "https://a.example.com/en/71#t", "http://b.net/de/8", "http://example.net/de/81", "http://xexample.net/de/8", "http://org/es/", "http://a.org?x=/es/", "http://casino-win.info/a", "http://free-bets.x.io", "http://a.b/casino", "ftp://x.com/en/://y", "http://com/en/", "http://nocasino.io/", "x\ny://example.com/en/1", "http://a\nb.com/en/2", "http://free-bet.site.io/x", "http://ad-server.site.io/", "http://ads-tracking.site.io/"]
     df = spark.createDataFrame([(i, u, "<p>", "r") for i, u in enumerate(urls)], "page_id long, url string, html string, rule string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df).collect()}
     assert got == {i: brute_verdict(u) for i, u in enumerate(urls)}
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_tokens_are_read_off_the_pattern():
+    need = urlfilter.needed_tokens
+    assert need(r"\bcasino\b") == [{"casino"}] and need("casino") == [set()] and need(r"\bcasino") == [set()]
+    assert sorted(map(sorted, need(r"://[^/?#]*\b(?:a|bc)-bets?\b"))) == [["a", "bet"], ["a", "bets"], ["bc", "bet"], ["bc", "bets"]]
+    assert need(r"://x\.y/[a-z]+") == [{"x", "y"}] and need("/a+/") == [set()] and need("/ab?/") == [{"a"}, {"ab"}] and need("-+a_") == [{"a"}]
+    assert need("|".join(f"/{c}{d}/" for c in "abcdefghijklmnop" for d in "abcdefghijklmnopq")) == [set()]
+
+
+def test_index_never_misses_a_match():
+    """Random patterns of the parts that rules are made of, on URLs made to match: one of the tokens is always there."""
+    import re
+
+    rng = random.Random(31)
+    parts = [("a", ["a"]), ("bc", ["bc"]), ("s?", ["", "s"]), ("-", ["-"]), (r"\b", [""]), ("[-_]", ["-", "_"]), ("(?:x|yz)", ["x", "yz"]), ("[a-c]+", ["a", "cab"]), (".", ["q", "-", "7"]), ("/+", ["/", "//"]), ("(?:ab){2}", ["abab"])]
+    hits = 0
+    for _ in range(4000):
+        chosen = [rng.choice(parts) for _ in range(rng.randint(1, 7))]
+        pattern, url = "".join(p for p, _ in chosen), rng.choice(["", "q", "-"]) + "".join(rng.choice(o) for _, o in chosen) + rng.choice(["", "q", "/"])
+        if re.search(pattern, url, re.I):
+            hits += 1
+            assert any(w <= urlfilter.tokens_of(url) for w in urlfilter.needed_tokens(pattern)), (pattern, url)
+    assert hits > 300
+
+
 def test_url_index_like_plain_patterns(spark):
     hosts = [f"{a}-{b}" for a in ("free", "online", "sport", "sports") for b in ("bet", "bets")] + [f"{a}-{b}{c}" for a in ("ad", "ads") for b in ("track", "server", "click") for c in ("", "er", "s")]
     hosts += [f"{a}-pills" for a in ("cheap", "buy", "online")] + ["payday-loan", "payday-loans", "ca\u017f\u0131no", "po\u212aER", "ads-other", "bets", "freebets"]
@@ -468,6 +542,16 @@ def test_shards_of_one_hot_key(spark):
     assert sharding.shard_rows(df.limit(0)).count() == 0
 
 
+def test_written_shards_hold_every_column(spark, tmp_path):
+    names = ["doc_id", "text", "n_bytes", "depth", "h", "h2", "place", "shard_id", "row", "my col"]
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i, *"abcdefgh") for i in range(60)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names[2:]))
+    column = sharding.write_shards(df, str(tmp_path / "out"), limit=400)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert column == "shard_id_" and sorted(map(tuple, back.select(*[f"`{n}`" for n in names]).collect())) == sorted(map(tuple, df.collect()))
+    sizes = back.groupBy(F.col(column)).agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("c")).collect()
+    assert len(sizes) > 2 and all((r["n"] or 0) <= 400 for r in sizes)
+
+
 def test_statistics_of_nothing():
     assert not quality.statistics("", np.zeros(0, dtype=np.uint64)).any()
     assert math.isfinite(quality.features(["!!!", "a", None]).sum())
