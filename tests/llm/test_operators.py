@@ -110,8 +110,11 @@ def test_components_both_ways(spark, monkeypatch, limit):
     assert got == {1: 1, 3: 1, 4: 1, 5: 1, 9: 1, 20: 20, 21: 20, 22: 20}
 
 
+CODER_FILES = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pack(df, **k):
-    return packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, **k)
+    return packing.pack_documents(df, *CODER_FILES, **k)
 
 
 def test_packing_round_trip(spark):
@@ -120,7 +123,6 @@ def test_packing_round_trip(spark):
     rng = random.Random(2)
     texts = [None, "", " lead", "trail ", "two  blanks", "tab\tand\nline \n break", "é ß 漢字 <|endoftext|> it's", *(prose(rng, rng.choice([3, 20, 200, 900])) for _ in range(60))]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = pack(docs(spark, texts), with_ids=True).toPandas()
     for i, t in enumerate(texts):
         want = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -133,6 +135,75 @@ def test_packing_round_trip(spark):
     assert pack(docs(spark, []), with_ids=False).count() == 0
 
 
+@pytest.mark.parametrize("files", [CODER_FILES, CODER_FILES[:1]])
+def test_ids_like_the_library(files):
+    from tokenizers import Tokenizer
+
+    tok, coder, rng = Tokenizer.from_file(CODER_FILES[0]), packing.Coder(*files), random.Random(3)
+    parts = [" ", " ", " ", "\t", "\u00a0", "\u3000", "\u0085", "\n", "\r\n", "<|endoftext|>", "<|endof", "a", "bc", "'s", "'", "12", ".", "é", "漢", "\u2003", "\x1c", "\u200b", "\ufeff", "!?"]
+    for text in ["a \u00a0 \u00a0 b", "a' \u00a0 \u00a0 \n1", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(100_000))]:
+        assert coder.encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes(), text
+
+
+def fewest_bins(sizes, cap):
+    """By trying all packings."""
+    best = len(sizes)
+
+    def put(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for j in {f: j for j, f in enumerate(fills)}.values():
+            if fills[j] + sizes[k] <= cap:
+                put(k + 1, [*fills[:j], fills[j] + sizes[k], *fills[j + 1 :]])
+        put(k + 1, [*fills, sizes[k]])
+
+    put(0, [])
+    return best
+
+
+def test_packing_near_the_fewest_bins():
+    rng = np.random.default_rng(4)
+    ours = fewest = 0
+    for _ in range(60):
+        sizes = np.sort(rng.integers(10, 60, 11))[::-1].copy()
+        ours += packing.pack_sizes(sizes, 100).max() + 1
+        fewest += fewest_bins(sizes.tolist(), 100)
+    assert fewest <= ours <= 1.02 * fewest
+
+
+def test_search_raises_squared_fill_and_saves_bins():
+    rng, saved = np.random.default_rng(6), 0
+    for k in range(40):
+        sizes = rng.integers(*[(1, 700), (200, 500), (260, 360), (340, 520)][k % 4], 200)
+        before = packing.best_fit(sizes, 1024)
+        after = packing.improve(sizes, before, 1024)
+        a, b = np.bincount(before, weights=sizes), np.bincount(after, weights=sizes)
+        assert b.max() <= 1024 and (b**2).sum() >= (a**2).sum() and (b > 0).sum() <= (a > 0).sum()
+        saved += (a > 0).sum() - (b > 0).sum()
+    assert saved >= 20
+
+
+def test_every_kind_of_step():
+    step = lambda sizes, place: len(set(packing.improve(np.array(sizes), np.array(place), 100).tolist()))
+    assert step([30, 60, 30], [0, 1, 2]) == 2  # a move
+    assert step([60, 40, 30, 70], [0, 1, 1, 2]) == 2  # moves to two bins
+    assert step([40, 50, 60, 30, 20], [0, 0, 1, 1, 2]) == 2  # one for one
+    assert step([15, 15, 70, 20, 80], [0, 0, 1, 1, 2]) == 2  # two for one
+
+
+def test_shards_meet_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 40)
+    rng = random.Random(17)
+    texts = [prose(rng, rng.randint(5, 300)) for _ in range(300)]
+    rows = pack(docs(spark, texts)).toPandas()
+    fills = rows.groupby("sequence_id").length.sum()
+    assert len(rows) == 300 and fills.max() <= 1024 and len(fills) <= 1.02 * fills.sum() / 1024 + 1
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 700, 900)
@@ -352,6 +423,65 @@ def test_edited_fingerprints(spark):
     assert fingerprint.edited_fingerprints(df.limit(0)).count() == 0
 
 
+def python_sketch(text, fraction):
+    """The sketch by another library: XXH64 of words, folded over five of them."""
+    import re
+
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x09-\x0D\x20]+", text.lower()) if w]
+    every = set()
+    for k in range(max(len(words) - 4, min(len(words), 1))):
+        h = 42
+        for w in words[k : k + 5]:
+            h = xxhash.xxh64_intdigest(w.to_bytes(8, "little"), h)
+        every.add(signed(h))
+    low = {h for h in every if h < -(2**63) + int(2**64 * fraction)}
+    return low or ({min(every)} if every else set())
+
+
+def test_fingerprints_like_a_python_version(spark):
+    rng = random.Random(19)
+    texts = {i: rng.choice([None, "", " \n", "one", prose(rng, 4), prose(rng, 5), prose(rng, 9), prose(rng, 60) + " Ünï\tCode", prose(rng, 900)]) for i in (-(2**63), -5, 0, 1, 2, 3, 10, 11, 2**62, 2**63 - 1, *range(100, 160))}
+    got = {r["doc_id"]: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    order, text = sorted(texts), lambda s: ",".join(f"{h & (2**64 - 1):x}" for h in sorted(s))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, i in enumerate(order):
+        t, n = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        half = len(t) // 2
+        a, b, c = (python_sketch(x, fingerprint.FRACTION) for x in (t, t[: len(t) - half] + n[:half], n))
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (text(a), text(b))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (like(a, b), like(a, c))
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    rng = random.Random(23)
+    pairs = [(prose(rng, rng.choice([0, 1, 3, 5, 6, 8, 40])), prose(rng, rng.choice([0, 2, 5, 7, 30]))) for _ in range(120)]
+    df = spark.createDataFrame(pairs, "a string, b string").select(*[fingerprint.sketch_of(fingerprint.words_of(F.col(c))).alias(c) for c in "ab"])
+    got = [set(r["m"]) for r in df.select(fingerprint.merge(F.col("a"), F.col("b")).alias("m")).collect()]
+    for (a, b), m in zip(pairs, got, strict=True):
+        both = python_sketch(a, 1 - 1e-15) | python_sketch(b, 1 - 1e-15)
+        low = {h for h in both if h < fingerprint._threshold(fingerprint.FRACTION)}
+        assert m == (low or ({min(both)} if both else set()))
+
+
+@pytest.mark.parametrize("group, fanout", [(4, 1024), (4, 5), (10**6, 1024)])
+def test_next_documents_over_many_ranges(spark, monkeypatch, group, fanout):
+    monkeypatch.setattr(fingerprint, "GROUP", group)
+    monkeypatch.setattr(fingerprint, "FANOUT", fanout)
+    rng = random.Random(29)
+    ids = [None, None, *rng.sample(range(10**6), 90), *range(2000, 2060), 2**62, -(2**63)]
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    rows = fingerprint.with_next(df, ["text"]).collect()
+    tie = {r["text"]: r["tie"] for r in df.collect()}
+    order = [t for _, _, t in sorted((i is not None, i or 0, t) for t, i in ((f"t{k}", i) for k, i in enumerate(ids)))]
+    order = sorted(order, key=lambda t: (ids[int(t[1:])] is not None, ids[int(t[1:])] or 0, tie[t]))
+    assert {r["text"]: r["next_text"] for r in rows} == dict(zip(order, order[1:] + order[:1], strict=True)) and len(rows) == len(ids)
+    tasks = fingerprint.with_ranges(df).groupBy("range").count().agg(F.max("count")).first()[0]
+    assert tasks <= (60 if group == 4 else 10**6)
+
+
 def test_short_texts_are_estimated_well(spark):
     rng = random.Random(21)
     df = spark.createDataFrame([(i, prose(rng, 80)) for i in range(200)], "doc_id long, text string")
