@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import counters
 from plumbline.llm.components import components
 from plumbline.llm.store import materialize, small_batches, without
 from plumbline.llm.textvec import U, mix, shingle_sets
@@ -141,8 +142,7 @@ def _first_pass(width: int):
                 rows.append((i, n, *sig, keys, marks, None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema)
         part = TaskContext.get().partitionId()
-        rows = [{"slice": k, "part": part, "blob": zlib.compress(c.tobytes(), 1)} for k, c in enumerate(np.split(counts, SLICES)) if c.any()]
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield pa.RecordBatch.from_pylist(counters.packed(counts, SLICES, part), schema=schema)
 
     return run
 
@@ -151,27 +151,6 @@ FIRST = "doc_id long, n int, s1 long, s2 long, keys array<long>, marks array<lon
 FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
 
-def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SLOTS // SLICES, dtype=np.uint64)
-    for blob in pdf["blob"]:
-        total += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "part": [0], "blob": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
-
-
-def _counts(first: DataFrame) -> np.ndarray:
-    """The order table: SLOTS counters, the same size for any input, summed in two rounds of bounded groups."""
-    slices = first.where("blob is not null").select("slice", "part", "blob")
-    parts = slices.agg(F.countDistinct("part")).first()[0]
-    fan = max(1, int(parts**0.5))
-    schema = "slice int, part int, blob binary"
-    if parts > 64:
-        slices = slices.withColumn("g", F.col("part") % fan).groupBy("slice", "g").applyInPandas(lambda p: _add_slices(p[["slice", "part", "blob"]]), schema)
-    out = np.zeros((SLICES, SLOTS // SLICES), dtype=np.uint32)
-    for row in slices.groupBy("slice").applyInPandas(_add_slices, schema).collect():
-        out[row["slice"]] = np.frombuffer(zlib.decompress(row["blob"]), dtype=np.uint32)
-    return out.ravel()
-
-
 def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(63, np.round(2 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
 
@@ -307,7 +286,7 @@ def jaccard_links(documents: DataFrame, width: int = 5, num: int = 80, den: int
     small_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = materialize(docs.mapInArrow(_first_pass(width), FIRST))
-    counts = _counts(first)
+    counts = counters.total(first.where("blob is not null"), SLOTS, SLICES)
     levels = spark.sparkContext.broadcast(_levels(counts))
     # frequent against the mean slot, so that a full table of a large corpus doesn't make everything frequent
     hot = int(_levels(np.array([HOT + 4 * counts.mean()]))[0])

@@ -1,14 +1,13 @@
 """Operator 6: toxicity by nearest labelled examples of exact TF-IDF cosine.
 
 Documents and examples are vectors of (1 + ln tf) * idf over all words of the examples; idf counts all documents. Every
-text is compared with every example, and the k nearest are exact. A word that no example holds has no place in these
-vectors: it would scale a text's similarities, not order them.
+text is compared with the examples over all these words by a block-max inverted index, and the k nearest are exact. A
+word that no example holds has no place in these vectors: it would scale a text's similarities, not order them.
 
 Besides, terms are learned from the labels: words, and beginnings of words, of whose examples a clearly larger share
-than usual is toxic, by a likelihood-ratio test that few random words pass. A block-max inverted index finds the nearest
-examples over these terms alone: examples lie in blocks, each term keeps its largest weight in each block, and a query
-reads blocks in falling order of the sum of these while it can still beat the k-th best. A text without such a term has
-the toxic share of examples that have none either.
+than usual is toxic, by a likelihood-ratio test that few random words pass. A second index of the same kind finds the
+nearest examples over these terms alone. A text without such a term has the toxic share of examples that have none
+either.
 
 In both, votes weigh by squared similarity against the prior. A logistic regression on the log odds of the two votes,
 and a monotone map, both fitted on the examples' leave-one-out votes, give the score. ``nearest`` and ``similarity``
@@ -18,12 +17,14 @@ The index holds at most ``fit_rows`` labelled rows, chosen by a hash of doc_id;
 doc_id's text modulo 4 is 2) are never learned from. All rows are scored, each from its whole text.
 
 Defined cases: null and empty texts, and those that share no word with any example, have no neighbours; without labels
-every score is 0; of equal similarities the smaller example id is nearer; rows that repeat a doc_id are scored each for
-itself.
+every score is 0; of equal similarities the smaller example id is nearer; examples of equal texts are one, under the
+smallest id and with the worse of clashing labels; rows that repeat a doc_id are scored each for itself; a null doc_id is
+scored and never held out; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -32,22 +33,26 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm import counters
+from plumbline.llm.quality import fit_sample
+from plumbline.llm.store import materialize, small_batches
+
 FIT_ROWS = 20_000
 TERMS = 4096
 STRENGTH = 15.0  # of the likelihood-ratio statistic: one in ten thousand random terms
-SHARE = 0.3  # of the examples with a term that are toxic, at least
+THRESHOLD = 0.3
+SHARE = THRESHOLD  # of the examples with a term that are toxic, at least: what it takes to decide
 NEAREST = 15
 BLOCK = 64
-DENSE = 512  # words whose weights are a matrix
-TOGETHER = 64  # texts that are compared at once
+DENSE = 1024  # words whose weights are a matrix
+TOGETHER = 256  # texts that are compared at once
+SLICES = 8
 ERROR = 5e-5  # of a similarity in single precision, at most
-THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -60,42 +65,57 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
 
 
-def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bad, good = Counter(), Counter()
-    for pdf in batches:
-        for text, y in zip(pdf["text"], pdf["y"], strict=True):
-            (bad if y > 0.5 else good).update({t for w in set(_WORD.findall((text or "").lower())) for t in terms_of(w)})
-        if len(bad) + len(good) > 1_000_000:
-            yield _rows(bad, good)
-            bad, good = Counter(), Counter()
-    yield _rows(bad, good)
+def _term_counts(known: dict[str, int] | None):
+    """Documents with each term in a batch of texts; with ``known`` of these terms alone."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = None if known is None else {t[:4] for t in known}
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = set(_WORD.findall((text or "").lower()))
+                if heads is not None:
+                    words = [w for w in words if w[:4] in heads]
+                counts.update({t for w in words for t in terms_of(w) if known is None or t in known})
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-def _rows(bad: Counter, good: Counter) -> pd.DataFrame:
-    names = list(bad.keys() | good.keys())
-    return pd.DataFrame({"term": pd.Series(names, dtype=object), "bad": pd.Series([bad[t] for t in names], dtype="int64"), "good": pd.Series([good[t] for t in names], dtype="int64")})
+    return run
 
 
 def choose_terms(sample: DataFrame, bad: int, good: int, terms: int = TERMS, strength: float = STRENGTH) -> list[tuple[str, int]]:
-    """The terms whose document shares differ most between labels, with their document counts."""
-    counts = sample.select("text", "y").mapInPandas(_term_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    """The terms whose document shares differ most between labels, with their document counts.
+
+    A term that k toxic examples and no other hold has the largest statistic that k allows, 2 k ln(n / bad); so terms of too
+    few toxic examples are left out before the others are counted."""
     n = bad + good
+    least = max(3, math.ceil(strength / (2 * math.log(n / bad))))
+    toxic, rest = sample.where("y > 0.5").select("text"), sample.where("y <= 0.5").select("text")
+    first = toxic.mapInArrow(_term_counts(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    in_bad = {r["term"]: r["n"] for r in first.collect()}  # at most the terms of the bounded sample
+    in_good = {r["term"]: r["n"] for r in rest.mapInArrow(_term_counts(in_bad), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
-    def part(k: Column, of: int, expected: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0) + F.when(of - k > 0, (of - k) * F.log((of - k) / (of - expected))).otherwise(0.0)
+    def part(k: int, of: int, expected: float) -> float:
+        return (k * math.log(k / expected) if k else 0.0) + ((of - k) * math.log((of - k) / (of - expected)) if of > k else 0.0)
 
-    df = F.col("bad") + F.col("good")
-    counts = counts.where((df >= 3) & (df < n))
-    g = 2 * (part(F.col("bad"), bad, df * bad / n) + part(F.col("good"), good, df * good / n))
-    best = counts.where(F.col("bad") >= SHARE * df).withColumn("g", g).where(F.col("g") >= strength).orderBy(F.desc("g"), "term").limit(terms)
-    return [(r["term"], r["bad"] + r["good"]) for r in best.collect()]
+    found = []
+    for term, k in in_bad.items():
+        df = k + in_good.get(term, 0)
+        if df < n and k >= SHARE * df:
+            g = 2 * (part(k, bad, df * bad / n) + part(df - k, good, df * good / n))
+            if g >= strength:
+                found.append((-g, term, df))
+    return [(term, df) for _, term, df in sorted(found)[:terms]]
 
 
 class Terms(dict):
-    """Term numbers of words; worked out once for a word."""
+    """Term numbers of words; worked out once for a word, and only for words that begin as some term does."""
 
     def __init__(self, numbers: dict[str, int]):
         self.numbers = numbers
+        self.heads = {t[:4] for t in numbers}
+
+    def __reduce__(self):
+        return Terms, (self.numbers,)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > 500_000:
@@ -104,139 +124,136 @@ class Terms(dict):
         return got
 
 
-def bag(words: Counter, terms: Terms) -> tuple[tuple[int, int], ...]:
-    """(term number, count) of a text's words."""
+def bag(words: Counter, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of the terms of a text's words."""
     counts: dict[int, int] = {}
-    for w, c in words.items():
+    heads = terms.heads
+    for w in [w for w in words if w[:4] in heads]:
         for k in terms[w]:
-            counts[k] = counts.get(k, 0) + c
-    return tuple(sorted(counts.items()))
+            counts[k] = counts.get(k, 0) + words[w]
+    return np.fromiter(counts.keys(), dtype=np.int64, count=len(counts)), np.fromiter(counts.values(), dtype=float, count=len(counts))
+
+
+def _alike(dense: np.ndarray) -> np.ndarray:
+    """An order of the columns in which those alike lie together: parted again and again by the main direction in which a
+    group varies. It only tightens the blocks' bounds."""
+    out, stack = [], [np.arange(dense.shape[1])]
+    while stack:
+        group = stack.pop()
+        if len(group) <= BLOCK:
+            out.append(group)
+            continue
+        x = dense[:, group]
+        x = x - x.mean(axis=1, keepdims=True)
+        w = x.var(axis=1) + 1e-9
+        for _ in range(6):
+            w = x @ (w @ x)
+            w /= max(float(np.linalg.norm(w)), 1e-30)
+        along = w @ x
+        order = np.argsort(along, kind="stable")
+        cut = int(np.searchsorted(along[order], 0.0))
+        cut = cut if len(group) / 8 <= cut <= 7 * len(group) / 8 else len(group) // 2
+        stack += [group[order[cut:]], group[order[:cut]]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 class Index:
-    """Block-max inverted index of example vectors of unit length."""
-
-    def __init__(self, bags: list, ys: list[float], ids: list[int], idf: np.ndarray, empty_share: float, prior: float):
-        self.idf, self.empty, self.prior = idf, empty_share, prior
-        # examples that share their leading terms lie together, which keeps the blocks' bounds tight
-        order = sorted(range(len(bags)), key=lambda e: (bags[e], ids[e]))
-        self.y, self.ids = np.array([ys[e] for e in order]), np.array([ids[e] for e in order], dtype=np.int64)
-        blocks = -(-len(order) // BLOCK)
-        self.most = np.zeros((len(idf), max(blocks, 1)))
-        lists: dict[tuple[int, int], tuple[list, list]] = {}
-        for place, e in enumerate(order):
-            at, weights = self.vector(bags[e])
-            for t, w in zip(at.tolist(), weights.tolist(), strict=True):
-                where, what = lists.setdefault((t, place // BLOCK), ([], []))
-                where.append(place % BLOCK)
-                what.append(w)
-                self.most[t, place // BLOCK] = max(self.most[t, place // BLOCK], w)
-        self.lists = {k: (np.array(a), np.array(b)) for k, (a, b) in lists.items()}
-        self.places = {i: p for p, i in enumerate(self.ids.tolist())}
-        self.seen: dict = {}
-
-    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([k for k, _ in counts], dtype=np.int64)
-        weights = (1 + np.log(np.array([c for _, c in counts], dtype=float))) * self.idf[at]
-        return at, weights / max(np.sqrt((weights**2).sum()), 1e-12)
-
-    def nearest(self, counts, k: int = NEAREST, skip: int | None = None) -> list[tuple[float, int]]:
-        """The k nearest examples as (similarity, place): falling similarity, then rising id."""
-        at, weights = self.vector(counts)
-        bounds = weights @ self.most[at]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < best[-1][0] - 1e-12):
-                break
-            sims = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weights.tolist(), strict=True):
-                if (found := self.lists.get((t, int(b)))) is not None:
-                    sims[found[0]] += w * found[1]
-            for e in np.flatnonzero(sims):
-                place = int(b) * BLOCK + int(e)
-                if place != skip:
-                    best.append((round(float(sims[e]), 12), -int(self.ids[place]), place))
-            best = sorted(best, reverse=True)[:k]
-        return [(s, p) for s, _, p in best]
-
-    def vote(self, counts, skip: int | None = None) -> float:
-        """The share of toxic examples among the nearest, by squared similarity and against the prior; without a term the
-        share among the examples that have none. ``skip`` is the id of an example to leave out."""
-        if not counts:
-            return self.empty
-        if (known := self.seen.get((counts, skip))) is None:
-            known = vote(((s, self.y[p]) for s, p in self.nearest(counts, skip=self.places.get(skip))), self.prior)
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[counts, skip] = known
-        return known
-
-
-class Words:
-    """Nearest examples by cosine over all words of the examples, exact.
-
-    Similarities to all examples are first taken in single precision: the words that most examples hold by a product of
-    matrices, all others from lists of the examples that hold them. Those within twice the error of the k-th best are
-    then worked out in double precision."""
+    """Block-max inverted index of example vectors; nearest examples by cosine, exact.
+
+    Examples that are alike lie together in blocks. Words that few examples hold have lists of these; the often held ones
+    have their weights in a matrix and keep their largest weight in each block. A query first adds up the lists: that is
+    no more than each similarity, so its k-th largest sum is no more than the k-th similarity. A block whose largest sum
+    and largest weights of the query's often held words can't reach it together is skipped; of the others the matrix part
+    is added, in single precision. Examples within twice its error of the k-th best are then worked out in double precision."""
 
     def __init__(self, rows: np.ndarray, at: np.ndarray, counts: np.ndarray, ys: np.ndarray, ids: np.ndarray, idf: np.ndarray, prior: float):
         """``rows`` holds the ends of the examples' parts of ``at`` and ``counts``; ``ids`` ascend."""
-        self.idf, self.prior, self.y, self.ids, self.at = idf, prior, ys, ids, at
-        self.places = {i: p for p, i in enumerate(ids.tolist())}
-        self.rows = np.r_[0, rows].astype(np.int64)
-        size = np.diff(self.rows)
-        place = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        self.idf, self.prior, self.query = idf, prior, np.zeros(len(idf))
+        size, n = np.diff(np.r_[0, rows]), len(ids)
+        place = np.repeat(np.arange(n), size)
         weight = (1 + np.log(counts)) * idf[at]
-        self.weight = weight / np.maximum(np.sqrt(np.bincount(place, weights=weight**2, minlength=len(ids))), 1e-12)[place]
+        weight = weight / np.maximum(np.sqrt(np.bincount(place, weights=weight**2, minlength=n)), 1e-12)[place]
         held = np.bincount(at, minlength=len(idf))
         often = np.argsort(-held, kind="stable")[:DENSE]
         self.column = np.full(len(idf), -1, dtype=np.int32)
         self.column[often] = np.arange(len(often))
-        dense = self.column[at] >= 0
-        self.dense = np.zeros((len(often), len(ids)), dtype=np.float32)
-        self.dense[self.column[at[dense]], place[dense]] = self.weight[dense]
-        by = np.flatnonzero(~dense)
-        by = by[np.argsort(at[by], kind="stable")]
-        self.list_place, self.list_weight = place[by], self.weight[by].astype(np.float32)
+        in_matrix = self.column[at] >= 0
+        dense = np.zeros((len(often), n), dtype=np.float32)
+        dense[self.column[at[in_matrix]], place[in_matrix]] = weight[in_matrix]
+        order = _alike(dense[:128])
+        self.y, self.ids, self.width = ys[order], ids[order], len(often)
+        self.places = {i: p for p, i in enumerate(self.ids.tolist())}
+        to = np.empty(n, dtype=np.int64)
+        to[order] = np.arange(n)
+        by = np.argsort(to[place], kind="stable")
+        self.at, self.weight, place, in_matrix = at[by].astype(np.int32), weight[by], to[place][by], in_matrix[by]
+        self.rows = np.r_[0, np.cumsum(size[order])].astype(np.int64)
+        lists = np.flatnonzero(~in_matrix)
+        lists = lists[np.argsort(self.at[lists], kind="stable")]
+        self.list_place, self.list_weight = place[lists].astype(np.int32), self.weight[lists].astype(np.float32)
         self.start = np.r_[0, np.cumsum(np.where(self.column < 0, held, 0))].astype(np.int64)
+        self.blocks = np.arange(0, n, BLOCK)
+        self.parts = [np.ascontiguousarray(dense[:, order[a : a + BLOCK]]) for a in self.blocks]
+        self.most = np.stack([p.max(axis=1) for p in self.parts], axis=1) if n and len(often) else np.zeros((len(often), len(self.blocks)), dtype=np.float32)
 
     def weights(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[at]
         return w / max(np.sqrt((w**2).sum()), 1e-12)
 
+    def _sums(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Similarities over the words that have lists."""
+        rare = self.column[at] < 0
+        first = self.start[at[rare]]
+        n = self.start[at[rare] + 1] - first
+        read = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.list_place[read], weights=self.list_weight[read] * np.repeat(w[rare].astype(np.float32), n), minlength=len(self.ids))
+
     def nearest(self, bags: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each bag similarities and places of the k nearest examples: falling similarity, then rising id. ``skip``
         has for each bag the place of an example to leave out."""
-        full = np.zeros(len(self.idf))
         for a in range(0, len(bags), TOGETHER):
             some = bags[a : a + TOGETHER]
+            if not len(self.ids):
+                yield from ((np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in some)
+                continue
             weights = [self.weights(*b) for b in some]
-            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
-            for row, (at, _), w in zip(q, some, weights, strict=True):
+            rough, q = np.empty((len(some), len(self.ids)), dtype=np.float32), np.zeros((len(some), self.width), dtype=np.float32)
+            for row, sums, (at, _), w in zip(q, rough, some, weights, strict=True):
                 column = self.column[at]
                 row[column[column >= 0]] = w[column >= 0]
-            for j, (rough, (at, _), w) in enumerate(zip(q @ self.dense, some, weights, strict=True)):
-                if not len(at) or not len(self.ids):
-                    yield np.zeros(0), np.zeros(0, dtype=np.int64)
-                    continue
-                rare = self.column[at] < 0
-                n = self.start[at[rare] + 1] - self.start[at[rare]]
-                read = np.repeat(self.start[at[rare]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                rough = rough + np.bincount(self.list_place[read], weights=self.list_weight[read] * np.repeat(w[rare], n), minlength=len(self.ids))
-                if skip is not None:
-                    rough[skip[a + j]] = -1.0
-                least = np.partition(rough, -k)[-k] if len(rough) > k else 0.0
-                left = np.flatnonzero(rough >= max(least - 2 * ERROR, 0.0))
-                full[at] = w
-                n = self.rows[left + 1] - self.rows[left]
-                ends = np.cumsum(n)
-                read = np.repeat(self.rows[left] - ends + n, n) + np.arange(n.sum())
-                sums = np.r_[0.0, np.cumsum(full[self.at[read]] * self.weight[read])]
-                full[at] = 0.0
-                sims = np.round(sums[ends] - sums[ends - n], 12)
-                left, sims = left[sims > 0], sims[sims > 0]
-                best = np.lexsort((left, -sims))[:k]
-                yield sims[best], left[best]
+                sums[:] = self._sums(at, w)
+            if skip is not None:
+                rough[np.arange(len(some)), skip[a : a + TOGETHER]] = -2.0
+            bound, top = q @ self.most, np.maximum.reduceat(rough, self.blocks, axis=1)
+            asked = (bound > 0) & (top + bound >= self._floor(top, k)[:, None] - 2 * ERROR)
+            for b in np.flatnonzero(asked.any(axis=0)):
+                who = np.flatnonzero(asked[:, b])
+                who = who if 2 * len(who) < len(some) else slice(None)  # more than asked does no harm
+                rough[who, b * BLOCK : (b + 1) * BLOCK] += q[who] @ self.parts[b]
+            floor = self._floor(np.maximum.reduceat(rough, self.blocks, axis=1), k)
+            for sums, low, (at, _), w in zip(rough, floor, some, weights, strict=True):
+                yield self._exact(sums, low, at, w, k)
+
+    @staticmethod
+    def _floor(top: np.ndarray, k: int) -> np.ndarray:
+        """No more than the k-th best of a row: the k-th best of its blocks' best."""
+        return np.partition(top, -k, axis=1)[:, -k].clip(min=0) if top.shape[1] > k else np.zeros(len(top), dtype=np.float32)
+
+    def _exact(self, rough: np.ndarray, low: float, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(rough >= max(low - 2 * ERROR, 1e-30))
+        if len(left) > k:
+            left = left[rough[left] >= np.partition(rough[left], -k)[-k] - 2 * ERROR]
+        if not len(left):
+            return np.zeros(0), left
+        self.query[at] = w
+        n = self.rows[left + 1] - self.rows[left]
+        starts = np.cumsum(n) - n
+        read = np.repeat(self.rows[left] - starts, n) + np.arange(n.sum())
+        sims = np.round(np.add.reduceat(self.query[self.at[read]] * self.weight[read], starts), 12)
+        self.query[at] = 0.0
+        left, sims = left[sims > 0], sims[sims > 0]
+        best = np.lexsort((self.ids[left], -sims))[:k]
+        return sims[best], left[best]
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float:
         return vote(zip(near[0].tolist(), self.y[near[1]].tolist(), strict=True), self.prior)
@@ -261,25 +278,38 @@ def word_bag(words: Counter, numbers: dict[str, int]) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """What is sent to the workers; each builds the index of the words from the packed examples once."""
+    """What is sent to the workers; each builds the indexes of the packed examples once. ``none`` is the vote of a text
+    without a learned term."""
+
+    def __init__(self, terms: dict[str, int], marks: tuple[np.ndarray, ...], examples: tuple[np.ndarray, ...], prior: float, none: float):
+        self.terms, self.prior, self.none = Terms(terms), prior, none
+        self.packed = [[(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in arrays] for arrays in (marks, examples)]
 
-    def __init__(self, terms: dict[str, int], marks: Index, examples: tuple[np.ndarray, ...], prior: float):
-        self.terms, self.marks, self.prior = terms, marks, prior
-        self.packed = [(zlib.compress(x.tobytes(), 1), x.dtype.str) for x in examples]
+    def _index(self, k: int) -> Index:
+        return Index(*(np.frombuffer(zlib.decompress(x), dtype=kind) for x, kind in self.packed[k]), self.prior)
+
+    @cached_property
+    def marks(self) -> Index:
+        return self._index(0)
 
     @cached_property
-    def index(self) -> Words:
-        return Words(*(np.frombuffer(zlib.decompress(x), dtype=kind) for x, kind in self.packed), self.prior)
+    def index(self) -> Index:
+        return self._index(1)
 
     def judge(self, texts: list[str | None], words: dict[str, int], skip: list[int] | None = None) -> Iterator[tuple[float, float, np.ndarray, np.ndarray]]:
-        """The votes of the learned terms and of the words, and the nearest examples by words, of each text."""
-        terms = Terms(self.terms)
+        """The votes of the learned terms and of the words, and the nearest examples by words, of each text; ``skip`` has
+        the id of an example to leave out for each."""
         for a in range(0, len(texts), TOGETHER):
             found = [words_of(t) for t in texts[a : a + TOGETHER]]
             left = None if skip is None else skip[a : a + TOGETHER]
+            terms = [bag(w, self.terms) for w in found]
+            marked = [k for k, t in enumerate(terms) if len(t[0])]
+            votes = np.full(len(found), self.none)
+            near = self.marks.nearest([terms[k] for k in marked], skip=None if left is None else [self.marks.places[left[k]] for k in marked])
+            votes[marked] = [self.marks.vote(n) for n in near]
             near = self.index.nearest([word_bag(w, words) for w in found], skip=None if left is None else [self.index.places[i] for i in left])
-            for j, (w, (sims, places)) in enumerate(zip(found, near, strict=True)):
-                yield self.marks.vote(bag(w, terms), None if left is None else left[j]), self.index.vote((sims, places)), sims, places
+            for v, (sims, places) in zip(votes.tolist(), near, strict=True):
+                yield v, self.index.vote((sims, places)), sims, places
 
 
 @dataclass
@@ -338,24 +368,18 @@ def word_table(documents: DataFrame, sample: DataFrame) -> tuple[Broadcast, np.n
             for text in batch.column(0).to_pylist():
                 df[[k for w in set(_WORD.findall((text or "").lower())) if (k := numbers.get(w)) is not None]] += 1
             df[-1] += batch.num_rows
-        at = np.flatnonzero(df)
-        for a in range(0, len(at), 100_000):
-            some = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], names=["k", "n"])
-
-    counts = documents.select(F.col("text").cast("string")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(words) + 1)
-    df[counts.column("k").to_numpy()] = counts.column("n").to_numpy()
+        yield pa.RecordBatch.from_pylist(counters.packed(df, SLICES, TaskContext.get().partitionId()), schema=pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]))
+
+    counts = documents.select(F.col("text").cast("string")).mapInArrow(count, counters.SCHEMA)
+    df = counters.total(materialize(counts), len(words) + 1, SLICES).astype(float)
     return sent, np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Broadcast, Broadcast, Scale]:
-    from plumbline.llm.quality import fit_sample
-    from plumbline.llm.store import materialize, small_batches
-
     small_batches(documents.sparkSession)
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    sample = materialize(fit_sample(documents, usable, "toxic", fit_rows).dropDuplicates(["text"]))
+    # of equal texts the smallest id stands for all, with the worse of their labels
+    sample = materialize(fit_sample(documents, usable, "toxic", fit_rows).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")))
     shares = {r["y"]: r["count"] for r in sample.groupBy((F.col("y") > 0.5).alias("y")).count().collect()}
     bad, good = shares.get(True, 0), shares.get(False, 0)
     chosen = choose_terms(sample, bad, good) if bad and good else []
@@ -367,21 +391,22 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         terms = Terms(numbers)
         for batch in batches:
             found = [words_of(t) for t in batch.column(1).to_pylist()]
-            marks, bags = [bag(w, terms) for w in found], [word_bag(w, words.value) for w in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([[x for kc in b for x in kc] for b in marks], pa.list_(pa.int32())), pa.array([b[0].astype("int32") for b in bags], pa.list_(pa.int32())), pa.array([b[1].astype("int32") for b in bags], pa.list_(pa.int32()))],
-                names=["doc_id", "y", "bag", "at", "count"],
-            )
-
-    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, bag array<int>, at array<int>, count array<int>").toArrow().sort_by("doc_id")
-    ids, ys = rows.column("doc_id").to_pylist(), [float(y > 0.5) for y in rows.column("y").to_pylist()]
-    marks = [tuple(zip(b[::2], b[1::2], strict=True)) for b in rows.column("bag").to_pylist()]
-    at, count = (rows.column(c).combine_chunks() for c in ("at", "count"))
-    examples = np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy(), count.flatten().to_numpy(), np.array(ys), np.array(ids, dtype=np.int64), word_idf
+            sides = [[bag(w, terms) for w in found], [word_bag(w, words.value) for w in found]]
+            arrays = [pa.array([b[k].astype("int32") for b in bags], pa.list_(pa.int32())) for bags in sides for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=["doc_id", "y", "term", "term_count", "word", "word_count"])
+
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y double, term array<int>, term_count array<int>, word array<int>, word_count array<int>").toArrow().sort_by("doc_id")
+    ids, ys = rows.column("doc_id").to_numpy(), (rows.column("y").to_numpy() > 0.5).astype(float)
     prior = bad / max(bad + good, 1)
-    full, none = [e for e, b in enumerate(marks) if b], [y for b, y in zip(marks, ys, strict=True) if not b]
-    index = Index([marks[e] for e in full], [ys[e] for e in full], [ids[e] for e in full], idf, (sum(none) + prior) / (len(none) + 1), prior)
-    sent = documents.sparkSession.sparkContext.broadcast(Model(numbers, index, examples, prior))
+
+    def packed(kind: str, rows: pa.Table, ids: np.ndarray, ys: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, count = (rows.column(c).combine_chunks() for c in (kind, f"{kind}_count"))
+        return np.cumsum(at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy(), count.flatten().to_numpy(), ys, ids, idf
+
+    has = rows.column("term").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) > 0
+    none = (ys[~has].sum() + prior) / ((~has).sum() + 1)
+    marks = packed("term", rows.filter(pa.array(has)), ids[has], ys[has], idf)
+    sent = documents.sparkSession.sparkContext.broadcast(Model(numbers, marks, packed("word", rows, ids, ys, word_idf), prior, float(none)))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -362,24 +362,40 @@ def test_toxicity_held_out_and_exact_neighbours(spark):
     assert {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(d, flip).collect()} == {i: r["score"] for i, r in got.items()}
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("block, dense, together", [(8, 5, 16), (64, 1000, 7), (16, 0, 64)])
+def test_block_max_index_is_exact(monkeypatch, block, dense, together):
+    for name, value in (("BLOCK", block), ("DENSE", dense), ("TOGETHER", together)):
+        monkeypatch.setattr(toxicity, name, value)
     rng = random.Random(7)
-    bags = [tuple(sorted({rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(1, 6))}.items())) for _ in range(500)]
-    idf = np.linspace(1, 5, 30)
-    ix = toxicity.Index(bags, [float(i % 3 == 0) for i in range(500)], list(range(500)), idf, 0.1, 0.3)
-
-    def dense(b):
-        v = np.zeros(30)
-        at, w = ix.vector(b)
-        v[at] = w
-        return v
-
-    m = np.array([dense(b) for b in bags])
-    for b in bags[:40]:
-        sims = np.round(m @ dense(b), 12)
-        want = sorted(((s, -i) for i, s in enumerate(sims) if s > 0), reverse=True)[:15]
-        got = [(s, -int(ix.ids[p])) for s, p in ix.nearest(b)]
-        assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-9)
+    groups = [range(0, 30), range(25, 60), range(50, 90)]
+    bags = [sorted({rng.choice(groups[i % 3]): rng.randint(1, 4) for _ in range(rng.randint(1, 9))}.items()) for i in range(500)]
+    idf, ids = np.linspace(1, 5, 90), np.sort(np.random.default_rng(1).choice(10**6, 500, replace=False))
+    arrays = [(np.array([k for k, _ in b]), np.array([float(c) for _, c in b])) for b in bags]
+    ix = toxicity.Index(np.cumsum([len(b) for b in bags]), np.concatenate([a for a, _ in arrays]), np.concatenate([c for _, c in arrays]), (ids % 3 == 0).astype(float), ids, idf, 0.1)
+    m = np.zeros((500, 90))
+    for row, (at, counts) in zip(m, arrays, strict=True):
+        row[at] = ix.weights(at, counts)
+    empty = (np.zeros(0, dtype=np.int64), np.zeros(0))
+    got = list(ix.nearest([*arrays, empty]))
+    alone = list(ix.nearest(arrays, skip=[ix.places[i] for i in ids.tolist()]))
+    assert len(got[-1][0]) == 0
+    for k in range(500):
+        for near, left in ((got[k], None), (alone[k], k)):
+            sims = np.round(m @ m[k], 12)
+            want = sorted(((-s, int(i)) for j, (s, i) in enumerate(zip(sims, ids, strict=True)) if s > 0 and j != left))[:15]
+            assert np.allclose(near[0], [-s for s, _ in want], atol=1e-9)
+            assert all(i == j or abs(s + t) < 1e-9 for i, (t, j), s in zip(ix.ids[near[1]].tolist(), want, near[0].tolist(), strict=True))
+            assert ix.vote(near) == pytest.approx((0.05 + sum(s * s * (i % 3 == 0) for s, i in zip(near[0], ix.ids[near[1]], strict=True))) / (0.5 + (near[0] ** 2).sum()))
+
+
+def test_toxicity_cases(spark):
+    d = docs(spark, ["vile words here", "vile words here", "kind words there", None, ""]).select("*", F.lit("x").alias("score"), F.lit(1).alias("nearest"))
+    clash = labelled(spark, [(0, 1, 0), (1, 1, 1), (2, 1, 0), (None, 1, 1)])
+    first = [tuple(r) for r in toxicity.score_toxicity(d, clash).orderBy("doc_id").collect()]
+    assert first == [tuple(r) for r in toxicity.score_toxicity(d.repartition(7, "text"), clash).orderBy("doc_id").collect()] and len(first) == 5
+    assert all(0 <= r[2] <= 1 for r in first) and first[3][4] == [] and first[0][2] == first[1][2]
+    assert toxicity.score_toxicity(d.limit(0), clash).count() == 0
+    assert toxicity.score_toxicity(spark.createDataFrame([(None, "vile words here")], "doc_id long, text string"), clash).first()["held_out"] is False
 
 
 def test_texts_without_learned_terms_have_the_nearest_examples(spark):
