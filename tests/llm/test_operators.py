@@ -226,26 +226,93 @@ def test_decontamination_of_reordered_passages(spark):
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
     got = {r["doc_id"]: (r["item_id"], r["coverage"], r["tiles"]) for r in decontam.contamination(docs(spark, texts), bench).collect()}
     assert got == {0: (7, 1.0, 1), 1: (7, 1.0, 2)}
-    split = decontam.contamination(docs(spark, texts), bench, block_words=1)
-    assert split.count() == 2
+    joined = decontam.contamination(docs(spark, texts), bench, sent=-1)
+    assert {r["doc_id"]: (r["item_id"], r["coverage"], r["tiles"]) for r in joined.collect()} == got
     assert decontam.clean(docs(spark, texts), bench).count() == 4
     assert decontam.contamination(docs(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_tiles_never_overlap():
+def plain_tiles(item, doc, width):
+    """Greedy string tiling by looking at all pairs of places."""
+    used_i, used_d, tiles = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and a + n not in used_i and b + n not in used_d:
+                    n += 1
+                if n > best[0]:
+                    best = (n, a, b)
+        if best[0] < width:
+            return tiles
+        n, a, b = best
+        used_i.update(range(a, a + n))
+        used_d.update(range(b, b + n))
+        tiles.append(best)
+
+
+def tiles_of(item, doc, width):
+    grams = [decontam.running_hashes(np.array(x, dtype=np.uint64) + np.uint64(1), width) for x in (item, doc)]
+    places = np.flatnonzero(np.isin(grams[1], grams[0]))
+    return decontam.tile(grams[0], grams[1][places], places, width)
+
+
+def test_tiles_like_a_plain_version():
     rng = random.Random(8)
-    for _ in range(30):
-        item, doc = ([rng.randrange(4) for _ in range(30)] for _ in "ab")
-        width = 3
-        seeds = [(i, j) for i in range(28) for j in range(28) if item[i : i + 3] == doc[j : j + 3]]
-        if not seeds:
-            continue
-        i, j = map(np.array, zip(*seeds, strict=True))
-        tiles = decontam.tile(decontam.matches(i, j, width), 30, 30, width)
+    for _ in range(150):
+        letters = rng.choice([2, 4, 9])
+        item, doc = [rng.randrange(letters) for _ in range(30)], [rng.randrange(letters) for _ in range(45)]
+        if rng.random() < 0.5:
+            doc[10:25] = item[5:20]
+        got, want = tiles_of(item, doc, 3), plain_tiles(item, doc, 3)
+        assert [t[0] for t in got] == [t[0] for t in want] and got == want
         for k in (1, 2):
-            covered = collections.Counter(x for t in tiles for x in range(t[k], t[k] + t[0]))
+            covered = collections.Counter(x for t in got for x in range(t[k], t[k] + t[0]))
             assert not covered or max(covered.values()) == 1
-        assert all(item[a : a + n] == doc[b : b + n] for n, a, b in tiles)
+
+
+def test_repeated_words_are_not_paired():
+    import time
+
+    began = time.process_time()
+    assert tiles_of([0] * 2000, [0] * 100_000, 5) == [(2000, 0, 0)] and time.process_time() - began < 5
+
+
+def brute_contamination(texts, items, width=5, coverage=0.5):
+    import re
+
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    out = {}
+    for d, t in enumerate(texts):
+        for k, item in items:
+            w = words(item)
+            if k is None or len(w) < width:
+                continue
+            tiles = plain_tiles(w, words(t), width)
+            covered = sum(n for n, _, _ in tiles)
+            if covered >= coverage * len(w):
+                out[d, k] = max(out.get((d, k), (0, 0, 0)), (covered / len(w), covered, len(tiles)))
+    return out
+
+
+@pytest.mark.parametrize("sent", [decontam.SENT, -1])
+def test_contamination_like_brute_force(spark, sent):
+    rng = random.Random(41)
+    items = [(k % 14, prose(rng, rng.randint(4, 25))) for k in range(16)] + [(20, "la la la la la la la la"), (21, None), (None, "a b c d e f"), (22, "")]
+    texts = [None, "", "la " * 30]
+    for _ in range(60):
+        parts = [prose(rng, rng.randint(0, 20))]
+        for _ in range(rng.randint(0, 3)):
+            w = (rng.choice(items)[1] or "x").split() or ["x"]
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a : a + rng.randint(1, 20)]).upper(), prose(rng, rng.randint(0, 6))]
+        texts.append(", ".join(parts))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.contamination(docs(spark, texts).withColumn("coverage", F.lit(1)), bench, sent=sent)
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["matched_words"], r["tiles"]) for r in found.collect()}
+    assert got == brute_contamination(texts, items) and len(got) > 5
+    assert decontam.contamination(docs(spark, []), bench, sent=sent).count() == 0
 
 
 def test_running_hashes_tell_runs():
