@@ -21,11 +21,12 @@ def r9(c: Column | str) -> Column:
 
 
 def pearson(x: str, y: str) -> Column:
-    """Pearson correlation; null below two pairs or without variance."""
-    c = F.corr(x, y)
-    both = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(x))
-    other = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(y))
-    return F.when((F.count(both) >= 2) & (F.stddev_pop(both) > 1e-15) & (F.stddev_pop(other) > 1e-15), c)
+    """Pearson correlation of the pairs where both are known; null below two pairs or without variance, whatever the
+    arithmetic mode: the quotient is tried, not taken."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(known, F.col(x)), F.when(known, F.col(y))
+    sa, sb = F.stddev_pop(a), F.stddev_pop(b)
+    return F.when((F.count(a) >= 2) & (sa > 1e-15) & (sb > 1e-15), F.try_divide(F.covar_pop(a, b), sa * sb))
 
 
 def with_pair_ranks(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -97,7 +97,9 @@ def summary(rows: DataFrame, value: str) -> DataFrame:
 
 def effect_sizes(rows: DataFrame) -> DataFrame:
     """cohens_d (null below two a group; 0 without deviation), risk_ratio of score >= median (null without risk below)."""
-    g = rows.groupBy((F.col("y") == 1).alias("p")).agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.avg((F.col("score") >= 500).cast("double")).alias("r"))
+    cut = rows.agg(percentile("score", 0.5).alias("cut"))
+    rows = rows.crossJoin(F.broadcast(cut))  # one row
+    g = rows.groupBy((F.col("y") == 1).alias("p")).agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.var_samp("score").alias("v"), F.avg((F.col("score") >= F.col("cut")).cast("double")).alias("r"))
     s = g.agg(*[F.max(F.when(F.col("p") if x == "p" else ~F.col("p"), F.col(c))).alias(f"{c}{x}") for x in "pq" for c in ("n", "m", "v", "r")])
     pooled = F.sqrt(((F.col("np") - 1) * F.col("vp") + (F.col("nq") - 1) * F.col("vq")) / (F.col("np") + F.col("nq") - 2))
     return s.select(F.when((F.col("np") >= 2) & (F.col("nq") >= 2), F.when(pooled == 0, 0.0).otherwise((F.col("mp") - F.col("mq")) / pooled)).alias("cohens_d"), F.when(F.col("rq") > 0, F.col("rp") / F.col("rq")).alias("risk_ratio"))

@@ -11,9 +11,6 @@ from plumbline.functions.stats import pearson, percentile, ratio, spearman, with
 from plumbline.functions.text import logit
 from plumbline.operators.matrix import accuracy, align
 
-Z95, Z80 = 1.959963984540054, 0.8416212335729143  # normal quantiles
-
-
 def shortcut(full: DataFrame, variants: DataFrame) -> DataFrame:
     """prompt_variant, full_score, ablated_score, retention, high: what is left of the score without the evidence."""
     names = variants.select("prompt_variant").distinct()
@@ -54,33 +51,58 @@ def reliability(full: DataFrame, variant: DataFrame) -> DataFrame:
 
 
 def item_stability(full: DataFrame, variant: DataFrame) -> DataFrame:
-    return align(full, variant).groupBy("item_id").agg((1 - F.avg(F.abs(F.col("score") - F.col("variant_score")))).alias("stability"))
+    """item_id, stability: share of models on the same side of 0.5 with both prompts; a missing cell counts as wrong."""
+    side = lambda c: F.coalesce(F.col(c) >= 0.5, F.lit(False))
+    return align(full, variant).groupBy("item_id").agg(F.avg((side("score") == side("variant_score")).cast("double")).alias("stability"))
+
+
+def _best(matrix: DataFrame, top: int) -> DataFrame:
+    """model_id of the ``top`` best, ties by rising id: a row a model, of a panel."""
+    return accuracy(matrix).withColumn("accuracy", F.round("accuracy", 12)).orderBy(F.desc("accuracy"), "model_id").limit(top)
 
 
 def saturation(matrix: DataFrame, top: int = 3) -> DataFrame:
-    """items, solved by all the best models, failed by all, discriminating ones, compression: one row."""
-    best = accuracy(matrix).withColumn("accuracy", F.round("accuracy", 12)).orderBy(F.desc("accuracy"), "model_id").limit(top).select("model_id", F.lit(True).alias("best"))
-    m = matrix.join(F.broadcast(best), "model_id", "left")
-    items = m.groupBy("item_id").agg(F.min(F.when(F.col("best"), F.col("score"))).alias("low"), F.max("score").alias("high"), F.avg("score").alias("p"), F.stddev_samp("score").alias("sd"))
-    acc = accuracy(matrix).agg((F.max("accuracy") - F.min("accuracy")).alias("spread"), F.max("accuracy").alias("best"))
-    s = items.agg(F.count("*").alias("items"), F.count_if(F.col("low") >= 0.999).alias("solved"), F.count_if(F.col("high") <= 0.001).alias("failed"), F.count_if((F.col("p") > 0.05) & (F.col("p") < 0.95) & (F.col("sd") > 0.05)).alias("discriminating"))
-    return s.crossJoin(acc).withColumn("compression", 1 - F.least(F.col("spread") / 0.5, F.lit(1.0)))
+    """items, shares solved by the best models and failed by all, discriminating items, range of the best, ceiling,
+    compression (1 - sample deviation / mean of accuracies) and category: one row."""
+    best = _best(matrix, top)
+    m = matrix.join(F.broadcast(best.select("model_id", F.lit(True).alias("best"))), "model_id", "left")
+    items = m.groupBy("item_id").agg(F.avg(F.when(F.col("best"), F.col("score"))).alias("top"), F.avg("score").alias("p"), F.stddev_samp("score").alias("sd"))
+    acc = accuracy(matrix).agg(F.max("accuracy").alias("ceiling"), (1 - F.stddev_samp("accuracy") / F.greatest(F.avg("accuracy"), F.lit(1e-8))).alias("compression"))
+    span = best.agg((F.max("accuracy") - F.min("accuracy")).alias("top_range"))
+    s = items.agg(F.count("*").alias("items"), F.avg((F.coalesce(F.col("top"), F.lit(0.0)) >= 0.999).cast("double")).alias("solved"), F.avg((F.col("p") <= 0.001).cast("double")).alias("failed"), F.count_if((F.col("p") > 0.05) & (F.col("p") < 0.95) & (F.col("sd") > 0.05)).alias("discriminating"))
+    share = F.col("discriminating") / F.col("items")
+    # The ladder of categories.
+    category = F.when(F.col("items") < 10, "insufficient evidence").when((F.col("ceiling") >= 0.9) | (F.col("solved") >= 0.75) | (share < 0.15), "severe").when((F.col("ceiling") >= 0.8) | (F.col("solved") >= 0.5) | (share < 0.3), "moderate").when((F.col("ceiling") >= 0.7) | (F.col("solved") >= 0.25), "mild").otherwise("not saturated")
+    return s.crossJoin(acc).crossJoin(span).withColumn("category", category)
+
+
+def saturation_by_tag(matrix: DataFrame, tags: DataFrame, top: int = 3) -> DataFrame:
+    """tag, items, mean score of all and of the best models, share solved by the best; ``tags``: item_id, tag."""
+    m = matrix.join(F.broadcast(_best(matrix, top).select("model_id", F.lit(True).alias("best"))), "model_id", "left").join(tags, "item_id")
+    items = m.groupBy("tag", "item_id").agg(F.avg(F.when(F.col("best"), F.col("score"))).alias("top"), F.avg("score").alias("p"))
+    return items.groupBy("tag").agg(F.count("*").alias("items"), F.avg("p").alias("mean"), F.avg("top").alias("top_mean"), F.avg((F.coalesce(F.col("top"), F.lit(0.0)) >= 0.999).cast("double")).alias("solved"))
 
 
 def dif(matrix: DataFrame, groups: DataFrame, least: float = 0.30) -> DataFrame:
-    """item_id, group_a, group_b, effect: difference of group means of (score - model accuracy); suspicious at ``least``."""
-    acc = accuracy(matrix)
-    resid = matrix.join(acc, "model_id").join(groups, "model_id").groupBy("item_id", "family").agg(F.avg(F.col("score") - F.col("accuracy")).alias("r"))
+    """item_id, group_a, group_b, effect, suspicious: difference of the groups' residuals, which are group mean less item
+    mean; an effect of at least ``least`` either way is suspicious."""
+    items = matrix.groupBy("item_id").agg(F.avg("score").alias("item_mean"))
+    resid = matrix.join(groups, "model_id").groupBy("item_id", "family").agg(F.avg("score").alias("m")).join(items, "item_id").withColumn("r", F.col("m") - F.col("item_mean"))
     a, b = resid.alias("a"), resid.alias("b")
     effect = F.expr("a.r - b.r")
     return a.join(b, F.expr("a.item_id = b.item_id and a.family < b.family")).select(F.col("a.item_id").alias("item_id"), F.col("a.family").alias("group_a"), F.col("b.family").alias("group_b"), effect.alias("effect"), (F.abs(effect) >= least).alias("suspicious"))
 
 
-def power(matrix: DataFrame) -> DataFrame:
-    """model_id, n, accuracy, se, detectable difference, items needed for a difference of 0.05."""
-    p = F.col("accuracy")
-    need = F.ceil((Z95 + Z80) * (Z95 + Z80) * 2 * p * (1 - p) / (0.05 * 0.05))
-    return matrix.groupBy("model_id").agg(F.count("score").alias("n"), F.avg("score").alias("accuracy")).withColumns({"se": F.sqrt(p * (1 - p) / F.col("n")), "detectable": 1.96 * F.sqrt(2 * p * (1 - p) / F.col("n")), "items_needed": need.cast("long")})
+def power(matrix: DataFrame, redundancy: float = 0.0) -> DataFrame:
+    """model_id, accuracy, se, and of the panel's mean accuracy the least detectable difference and the items needed to
+    tell differences of 1, 2 and 5 points; redundant items don't count."""
+    acc = accuracy(matrix)
+    panel = acc.agg(F.avg("accuracy").alias("mean")).crossJoin(matrix.agg(F.count_distinct("item_id").alias("items")))
+    n = F.greatest(F.lit(1.0), F.col("items") * (1 - min(max(redundancy, 0.0), 0.95)))
+    p = F.col("mean")
+    need = {f"items_for_{d}": F.ceil((1.96 + 0.84) * (1.96 + 0.84) * F.greatest(p * (1 - p), F.lit(1e-6)) / (d / 100 * d / 100)).cast("long") for d in (1, 2, 5)}
+    out = acc.crossJoin(F.broadcast(panel)).withColumn("n", n)  # one row
+    return out.select("model_id", "accuracy", F.sqrt(F.greatest(F.col("accuracy") * (1 - F.col("accuracy")), F.lit(0.0)) / F.floor("n")).alias("se"), (1.96 * F.sqrt(2 * p * (1 - p) / F.col("n"))).alias("detectable"), *[e.alias(c) for c, e in need.items()])
 
 
 def coverage(items: DataFrame, tag: str = "tag") -> DataFrame:
@@ -105,16 +127,32 @@ def goodhart(matrix: DataFrame, interventions: DataFrame) -> DataFrame:
 
 
 def irt_items(matrix: DataFrame) -> DataFrame:
-    """item_id, n, p, difficulty, discrimination (Spearman of the item with the model's mean over other items),
-    information, label: closed forms, no fit. The rest score is (sum - x) / (n - 1), so items never meet each other."""
-    m = matrix.withColumns({"_s": F.sum("score").over(Window.partitionBy("model_id")), "_n": F.count("score").over(Window.partitionBy("model_id"))})
-    rows = m.withColumn("rest", F.round(ratio(F.col("_s") - F.col("score"), F.col("_n") - 1), 12))
-    d = spearman(rows, "score", "rest", ["item_id"]).select("item_id", F.col("spearman").alias("discrimination"))
-    p = matrix.groupBy("item_id").agg(F.count("score").alias("n"), F.avg("score").alias("p")).withColumn("difficulty", -logit(F.col("p"), 1e-4))
-    out = p.join(d, "item_id", "left").withColumn("information", F.greatest(F.coalesce("discrimination", F.lit(0.0)), F.lit(0.0)) * F.col("p") * (1 - F.col("p")))
-    disc = F.col("discrimination")
-    label = F.when(disc.isNull(), "undefined").when(disc < -0.05, "negative").when(disc <= 0.05, "low").otherwise("positive")
-    return out.withColumns({"label": label, "too_easy": F.col("p") >= 0.95, "too_hard": F.col("p") <= 0.05})
+    """item_id, n, p, difficulty, discrimination, information, label, too_easy, too_hard, anchor: closed forms, no fit.
+
+    The rest score of a model is (its sum - x) / (items - 1); an item's Pearson correlation with it makes the item an
+    anchor above 0.05 if 0.05 < p < 0.95, or above 0 if there would be too few anchors, or none. Discrimination is the
+    item's Spearman correlation with the mean over the anchors (without the item itself), or with the rest score without
+    anchors; then the Pearson one, then 0. Sums less a part: items never meet each other."""
+    model = matrix.groupBy("model_id").agg(F.sum("score").alias("s"))
+    size = matrix.agg(F.count_distinct("item_id").alias("items"), F.count_distinct("model_id").alias("models"))
+    rows = matrix.join(model, "model_id").crossJoin(F.broadcast(size))  # one row
+    rows = rows.withColumn("rest", F.round(F.when(F.col("items") > 1, (F.col("s") - F.col("score")) / F.greatest(F.col("items") - 1, F.lit(1))).otherwise(F.col("s")), 12))
+    p = rows.groupBy("item_id").agg(F.count("score").alias("n"), F.avg("score").alias("p"), F.coalesce(F.round(pearson("score", "rest"), 12), F.lit(0.0)).alias("total_r"), F.first("items").alias("items"))
+    strict, loose = (F.col("p") > 0.05) & (F.col("p") < 0.95) & (F.col("total_r") > 0.05), F.col("total_r") > 0
+    least = F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.max("items") / 4)))
+    kind = p.agg(F.count_if(strict).alias("strict"), F.count_if(loose).alias("loose"), least.alias("least")).select("least", F.when(F.col("strict") >= F.col("least"), "strict").when(F.col("loose") >= F.col("least"), "loose").otherwise("none").alias("kind"))
+    p = p.crossJoin(F.broadcast(kind)).withColumn("anchor", F.when(F.col("kind") == "strict", strict).when(F.col("kind") == "loose", loose).otherwise(F.lit(False)))
+    count = p.agg(F.count_if("anchor").alias("anchors"), F.first("least").alias("least"))
+    rows = rows.join(p.select("item_id", "anchor"), "item_id")
+    sums = rows.groupBy("model_id").agg(F.sum(F.when(F.col("anchor"), F.col("score"))).alias("as"))
+    rows = rows.join(sums, "model_id").crossJoin(F.broadcast(count))
+    proxy = F.when(F.col("anchor") & (F.col("anchors") - 1 >= F.col("least")), (F.col("as") - F.col("score")) / F.greatest(F.col("anchors") - 1, F.lit(1))).when(F.col("anchors") >= F.col("least"), F.col("as") / F.greatest(F.col("anchors"), F.lit(1))).otherwise(F.col("rest"))
+    rows = rows.withColumn("proxy", F.round(proxy, 12))
+    d = with_pair_ranks(rows, "score", "proxy", ["item_id"]).groupBy("item_id").agg(pearson("_rx", "_ry").alias("rho"), pearson("score", "proxy").alias("r"), F.first("anchors").alias("anchors"), F.first("models").alias("models"))
+    out = p.join(d, "item_id", "left").withColumn("discrimination", F.coalesce("rho", "r", "total_r", F.lit(0.0))).withColumn("difficulty", -logit(F.col("p"), 1e-4))
+    disc, mid = F.col("discrimination"), (F.col("p") > 0.05) & (F.col("p") < 0.95)
+    label = F.when(F.col("models") < 5, "insufficient_panel").when((F.col("anchors") == 0) | ~mid, "unstable_estimate").when(disc < -0.05, "negative_discrimination").when(F.abs(disc) < 0.05, "low_discrimination").otherwise("positive_discrimination")
+    return out.select("item_id", "n", "p", "difficulty", "discrimination", (F.greatest(disc, F.lit(0.0)) * F.col("p") * (1 - F.col("p"))).alias("information"), label.alias("label"), (F.col("p") >= 0.95).alias("too_easy"), (F.col("p") <= 0.05).alias("too_hard"), "anchor")
 
 
 def irt_abilities(matrix: DataFrame) -> DataFrame:

@@ -11,6 +11,11 @@ from plumbline.functions.stats import ratio, spearman
 from plumbline.operators.matrix import accuracy
 
 
+def level(matrix: DataFrame, *by: str) -> DataFrame:
+    """Accuracies rounded to 12 places, so that ties don't depend on the order in which cells were added up."""
+    return accuracy(matrix, *by).withColumn("accuracy", F.round("accuracy", 12))
+
+
 def ranked(scores: DataFrame, value: str = "accuracy", by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rank_average, rank_min, and rank_place (ties by falling id)."""
     by = list(by)
@@ -26,12 +31,12 @@ def compare(a: DataFrame, b: DataFrame, value: str = "accuracy") -> DataFrame:
 
 def subject_ranks(matrix: DataFrame) -> DataFrame:
     """model_id, subject, accuracy and its ranks within the subject."""
-    return ranked(accuracy(matrix, "model_id", "subject"), by=("subject",))
+    return ranked(level(matrix, "model_id", "subject"), by=("subject",))
 
 
 def subject_instability(matrix: DataFrame) -> DataFrame:
     """Of each model the range, spread and distance from the overall rank of its subject ranks (ties share the first)."""
-    full = ranked(accuracy(matrix)).select("model_id", F.col("rank_min").alias("full_rank"))
+    full = ranked(level(matrix)).select("model_id", F.col("rank_min").alias("full_rank"))
     by = subject_ranks(matrix).join(full, "model_id").withColumn("delta", F.abs(F.col("rank_min") - F.col("full_rank")))
     return by.groupBy("model_id", "full_rank").agg(
         F.count("*").alias("subjects"), F.min("rank_min").alias("best_rank"), F.max("rank_min").alias("worst_rank"), (F.max("rank_min") - F.min("rank_min")).alias("rank_range"),
@@ -72,7 +77,7 @@ def top_k_jaccard(matrix: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> Dat
 
 def effect_reversals(matrix: DataFrame, least: float = 0.01) -> DataFrame:
     """Model pairs and subject pairs whose accuracy difference changes sign, both at least ``least``."""
-    acc = accuracy(matrix, "model_id", "subject")
+    acc = level(matrix, "model_id", "subject")
     a, b = acc.alias("a"), acc.alias("b")
     d = a.join(b, F.expr("a.subject = b.subject and a.model_id < b.model_id")).select(F.col("a.model_id").alias("model_a"), F.col("b.model_id").alias("model_b"), F.col("a.subject").alias("subject"), (F.col("a.accuracy") - F.col("b.accuracy")).alias("d")).where(F.abs("d") >= least)
     x, y = d.alias("x"), d.alias("y")

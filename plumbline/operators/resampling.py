@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.ranks import average_rank, place
 from plumbline.functions.rng import uniform
-from plumbline.functions.stats import percentile
+from plumbline.functions.stats import pearson, percentile
 from plumbline.functions.text import expit, logit
 
 
@@ -107,8 +107,8 @@ def permutation_p(pairs: DataFrame, n: int, seed: int) -> DataFrame:
     base = pairs.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key"))).select("key", "i", "x", "y")
     grid = base.crossJoin(F.broadcast(replicates(base, n)))
     moved = grid.select("replicate", "y", F.row_number().over(Window.partitionBy("replicate").orderBy(uniform(seed, "replicate", "key"), "key")).alias("i"))
-    rho = grid.select("replicate", "i", "x").join(moved, ["replicate", "i"]).groupBy("replicate").agg(F.corr("x", "y").alias("r"))
-    seen = base.agg(F.corr("x", "y").alias("observed"))
+    rho = grid.select("replicate", "i", "x").join(moved, ["replicate", "i"]).groupBy("replicate").agg(pearson("x", "y").alias("r"))
+    seen = base.agg(pearson("x", "y").alias("observed"))
     both = rho.crossJoin(F.broadcast(seen))
     return both.groupBy("observed").agg(((1 + F.count_if(F.round(F.abs("r"), 9) >= F.round(F.abs(F.col("observed")), 9))) / (F.count("*") + 1)).alias("p"))
 
@@ -180,7 +180,7 @@ def baseline_iterations(matrix: DataFrame, n: int, seed: int) -> DataFrame:
     r = acc.withColumns({"r": F.rank().over(Window.partitionBy("replicate").orderBy(F.desc("a"))), "ra": average_rank("a", ["replicate"])})
     f = full.withColumns({"fr": F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("f"))), "fa": average_rank("f", [])})
     both = r.join(F.broadcast(f), "model_id")
-    return both.groupBy("replicate").agg(F.corr("ra", "fa").alias("spearman"), (F.count_if((F.col("r") <= 5) & (F.col("fr") <= 5)) / F.lit(5.0)).alias("top5"), F.max(F.abs(F.col("r") - F.col("fr"))).alias("max_delta"), F.avg(F.abs(F.col("r") - F.col("fr"))).alias("mean_delta"))
+    return both.groupBy("replicate").agg(pearson("ra", "fa").alias("spearman"), (F.count_if((F.col("r") <= 5) & (F.col("fr") <= 5)) / F.lit(5.0)).alias("top5"), F.max(F.abs(F.col("r") - F.col("fr"))).alias("max_delta"), F.avg(F.abs(F.col("r") - F.col("fr"))).alias("mean_delta"))
 
 
 def truncated_ci(values: DataFrame, value: str, quantiles: tuple[float, ...] = (0.025, 0.975)) -> DataFrame:

@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.rng import uniform
+from plumbline.operators.diagnostics import balanced_subset
 
-#: Ordering of items by which a mode takes the first k; columns: p, discrimination, information, stability, risky.
-MODES = {
-    "top_discrimination": lambda seed: (F.desc_nulls_last("discrimination"), F.asc("item_id")),
-    "maximum_information": lambda seed: (F.desc_nulls_last("information"), F.asc("item_id")),
-    "high_reliability": lambda seed: (F.desc_nulls_last("stability"), F.asc("item_id")),
-    "low_contamination_risk": lambda seed: (F.asc("risky"), F.desc_nulls_last("information"), F.asc("item_id")),
-    "random_baseline": lambda seed: (uniform(seed, "item_id").asc(), F.asc("item_id")),
-}
+#: Modes of choosing items, by columns p, discrimination, information, risky, tag and value.
+MODES = ("random_baseline", "top_discrimination", "maximum_information", "high_reliability", "low_contamination_risk", "balanced_by_construct_tag", "coverage_constrained")
 
 
 def subset(items: DataFrame, mode: str, k: int, seed: int = 0) -> DataFrame:
-    """item_id of the k items that a mode takes."""
-    return items.orderBy(*MODES[mode](seed)).limit(k).select("item_id")
+    """item_id of the k items that a mode takes. Ties go to the larger id. ``high_reliability`` takes items of clear positive
+    discrimination by information, and all by information if there are none; ``low_contamination_risk`` fills up with
+    risky items by id; both balanced modes take turns over ``tag`` by information."""
+    if mode not in MODES:
+        raise ValueError(f"unknown subset mode: {mode}")
+    if mode in ("balanced_by_construct_tag", "coverage_constrained"):
+        return balanced_subset(items.withColumn("value", F.col("information")), k).select("item_id")
+    if mode == "random_baseline":
+        return items.orderBy(uniform(seed, "item_id"), "item_id").limit(k).select("item_id")
+    disc, info, last = F.col("discrimination"), F.desc_nulls_last("information"), F.desc("item_id")
+    if mode == "high_reliability":
+        clear = items.where(disc >= 0.05)
+        return subset(items if clear.isEmpty() else clear, "maximum_information", k)
+    if mode == "low_contamination_risk":
+        return items.orderBy(F.asc("risky"), F.when(~F.col("risky"), F.col("information")).desc_nulls_last(), F.asc("item_id")).limit(k).select("item_id")
+    return items.orderBy(F.desc_nulls_last("discrimination") if mode == "top_discrimination" else info, last).limit(k).select("item_id")
 
 
 def packet(items: DataFrame, strategy: str, k: int, seed: int = 0) -> DataFrame:

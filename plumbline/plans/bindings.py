@@ -89,7 +89,7 @@ tst AS (SELECT p_partkey AS key, (p_partkey * 7919 % 10007 + 1) / 10008.0 AS p F
 acc AS (SELECT model_id, avg(score) AS a FROM f GROUP BY 1),
 acc2 AS (SELECT model_id, avg(score) AS a FROM b2 GROUP BY 1),
 accv AS (SELECT model_id, avg(score) AS a FROM v GROUP BY 1),
-sa AS (SELECT model_id, subject, avg(score) AS a FROM f GROUP BY ALL),
+sa AS (SELECT model_id, subject, round(avg(score), 12) AS a FROM f GROUP BY ALL),
 sar AS (SELECT *, rank() OVER (PARTITION BY subject ORDER BY a DESC) + (count(*) OVER (PARTITION BY subject, a) - 1) / 2.0 AS r,
                rank() OVER (PARTITION BY subject ORDER BY a DESC) AS mr FROM sa),
 it AS (SELECT item_id, subject, avg(score) AS p, count(*) AS n, stddev_pop(score) AS sp, stddev_samp(score) AS ss FROM f GROUP BY ALL)

@@ -63,25 +63,37 @@ def _(t: Tables):
     return _rounded(D.reliability(t.full, t.variant), "spearman", "agreement", "mean_abs_delta")
 
 
-@query("item_stability", _AL + " SELECT item_id, round(1 - avg(abs(score - vs)), 9) AS stability FROM al GROUP BY 1")
+@query("item_stability", _AL + " SELECT item_id, round(avg(CASE WHEN coalesce(score >= 0.5, false) = coalesce(vs >= 0.5, false) THEN 1.0 ELSE 0.0 END), 9) AS stability FROM al GROUP BY 1")
 def _(t: Tables):
     return _rounded(D.item_stability(t.full, t.variant), "stability")
 
 
-@query("saturation", """, b AS (SELECT model_id FROM acc ORDER BY round(a, 12) DESC, model_id LIMIT 3), i AS (SELECT item_id, min(CASE WHEN model_id IN (SELECT model_id FROM b) THEN score END) AS low, max(score) AS high, avg(score) AS p, stddev_samp(score) AS sd FROM f GROUP BY 1)
-SELECT count(*) AS items, count(*) FILTER (low >= 0.999) AS solved, count(*) FILTER (high <= 0.001) AS failed, count(*) FILTER (p > 0.05 AND p < 0.95 AND sd > 0.05) AS discriminating, (SELECT round(max(a) - min(a), 9) FROM acc) AS spread, (SELECT round(max(a), 9) FROM acc) AS best, (SELECT round(1 - least((max(a) - min(a)) / 0.5, 1), 9) FROM acc) AS compression FROM i""")
+_SAT = ", b AS (SELECT model_id, a FROM acc ORDER BY round(a, 12) DESC, model_id LIMIT 3), i AS (SELECT item_id, subject, avg(CASE WHEN model_id IN (SELECT model_id FROM b) THEN score END) AS top, avg(score) AS p, stddev_samp(score) AS sd FROM f GROUP BY ALL)"
+
+
+@query("saturation", _SAT + """, s AS (SELECT count(*) AS items, avg(CASE WHEN top >= 0.999 THEN 1.0 ELSE 0.0 END) AS solved, avg(CASE WHEN p <= 0.001 THEN 1.0 ELSE 0.0 END) AS failed, count(*) FILTER (p > 0.05 AND p < 0.95 AND sd > 0.05) AS discriminating FROM i),
+c AS (SELECT max(a) AS ceiling, 1 - stddev_samp(a) / greatest(avg(a), 1e-8) AS compression FROM acc)
+SELECT items, round(solved, 9) AS solved, round(failed, 9) AS failed, discriminating, round(ceiling, 9) AS ceiling, round(compression, 9) AS compression, (SELECT round(max(a) - min(a), 9) FROM b) AS top_range,
+CASE WHEN items < 10 THEN 'insufficient evidence' WHEN ceiling >= 0.9 OR solved >= 0.75 OR discriminating / items < 0.15 THEN 'severe' WHEN ceiling >= 0.8 OR solved >= 0.5 OR discriminating / items < 0.3 THEN 'moderate' WHEN ceiling >= 0.7 OR solved >= 0.25 THEN 'mild' ELSE 'not saturated' END AS category FROM s, c""")
+def _(t: Tables):
+    return _rounded(D.saturation(t.full), "solved", "failed", "ceiling", "compression", "top_range")
+
+
+@query("saturation_by_tag", _SAT + " SELECT subject AS tag, count(*) AS items, round(avg(p), 9) AS mean, round(avg(top), 9) AS top_mean, round(avg(CASE WHEN top >= 0.999 THEN 1.0 ELSE 0.0 END), 9) AS solved FROM i GROUP BY 1")
 def _(t: Tables):
-    return _rounded(D.saturation(t.full), "spread", "best", "compression")
+    out = D.saturation_by_tag(t.full.drop("subject"), t.full.select("item_id", F.col("subject").alias("tag")).distinct())
+    return _rounded(out, "mean", "top_mean", "solved")
 
 
-@query("dif_effects", """, r AS (SELECT item_id, family, avg(score - a) AS r FROM f JOIN acc USING (model_id) JOIN fam USING (model_id) GROUP BY ALL)
+@query("dif_effects", """, im AS (SELECT item_id, avg(score) AS im FROM f GROUP BY 1), r AS (SELECT item_id, family, avg(score) - max(im) AS r FROM f JOIN im USING (item_id) JOIN fam USING (model_id) GROUP BY ALL)
 SELECT x.item_id, x.family AS group_a, y.family AS group_b, round(x.r - y.r, 9) AS effect, abs(round(x.r - y.r, 9)) >= 0.30 AS suspicious FROM r x JOIN r y ON x.item_id = y.item_id AND x.family < y.family""")
 def _(t: Tables):
     out = _rounded(D.dif(t.full, t.families), "effect")
     return out.withColumn("suspicious", F.abs("effect") >= 0.30)
 
 
-@query("power_table", "SELECT model_id, n, round(a, 9) AS accuracy, round(sqrt(a * (1 - a) / n), 9) AS se, round(1.96 * sqrt(2 * a * (1 - a) / n), 9) AS detectable, CAST(ceil((1.959963984540054 + 0.8416212335729143) * (1.959963984540054 + 0.8416212335729143) * 2 * a * (1 - a) / (0.05 * 0.05)) AS BIGINT) AS items_needed FROM (SELECT model_id, count(score) AS n, avg(score) AS a FROM f GROUP BY 1)")
+@query("power_table", """, pn AS (SELECT (SELECT avg(a) FROM acc) AS m, (SELECT count(DISTINCT item_id) FROM f) AS n)
+SELECT model_id, round(a, 9) AS accuracy, round(sqrt(greatest(a * (1 - a), 0) / n), 9) AS se, round(1.96 * sqrt(2 * m * (1 - m) / n), 9) AS detectable, """ + ", ".join(f"CAST(ceil((1.96 + 0.84) * (1.96 + 0.84) * greatest(m * (1 - m), 1e-6) / ({d} / 100.0 * {d} / 100.0)) AS BIGINT) AS items_for_{d}" for d in (1, 2, 5)) + " FROM acc, pn")
 def _(t: Tables):
     return _rounded(D.power(t.full), "accuracy", "se", "detectable")
 
@@ -104,12 +116,18 @@ def _(t: Tables):
     return _rounded(D.goodhart(t.full, pre.join(post, "model_id").where("cast(model_id as int) % 4 > 0")), "accuracy", "drift", "gap").drop("pre", "post")
 
 
-_IRT = """, m AS (SELECT *, sum(score) OVER (PARTITION BY model_id) AS s, count(score) OVER (PARTITION BY model_id) AS n FROM f), rw AS (SELECT item_id, score, round((s - score) / (n - 1), 12) AS rest FROM m),
-rr AS (SELECT item_id, """ + _avg_rank("score", "item_id") + " AS rx, " + _avg_rank("rest", "item_id") + """ AS ry FROM rw), d AS (SELECT item_id, CASE WHEN stddev_pop(rx) > 1e-15 AND stddev_pop(ry) > 1e-15 THEN corr(rx, ry) END AS d FROM rr GROUP BY 1),
-ir AS (SELECT item_id, n, p, -ln(greatest(least(p, 1 - 1e-4), 1e-4) / (1 - greatest(least(p, 1 - 1e-4), 1e-4))) AS difficulty, d AS discrimination, greatest(coalesce(d, 0), 0) * p * (1 - p) AS information FROM it JOIN d USING (item_id))"""
+_IRT = """, ms AS (SELECT model_id, sum(score) AS s FROM f GROUP BY 1), sz AS (SELECT count(DISTINCT item_id) AS items, count(DISTINCT model_id) AS models FROM f), rw AS (SELECT f.*, round((s - score) / (items - 1), 12) AS rest FROM f JOIN ms USING (model_id), sz),
+ip AS (SELECT item_id, count(score) AS n, avg(score) AS p, coalesce(round(CASE WHEN stddev_pop(score) > 1e-15 AND stddev_pop(rest) > 1e-15 THEN corr(score, rest) END, 12), 0) AS total_r FROM rw GROUP BY 1),
+kd AS (SELECT CASE WHEN count(*) FILTER (p > 0.05 AND p < 0.95 AND total_r > 0.05) >= max(l) THEN 'strict' WHEN count(*) FILTER (total_r > 0) >= max(l) THEN 'loose' ELSE 'none' END AS kind, max(l) AS least FROM ip, (SELECT least(5, greatest(2, items // 4)) AS l FROM sz)),
+an AS (SELECT item_id, CASE kind WHEN 'strict' THEN p > 0.05 AND p < 0.95 AND total_r > 0.05 WHEN 'loose' THEN total_r > 0 ELSE false END AS anchor FROM ip, kd), ac AS (SELECT count(*) FILTER (anchor) AS anchors FROM an),
+asum AS (SELECT model_id, sum(score) FILTER (anchor) AS asum FROM f JOIN an USING (item_id) GROUP BY 1),
+px AS (SELECT item_id, score, round(CASE WHEN anchor AND anchors - 1 >= least THEN (asum - score) / (anchors - 1) WHEN anchors >= least THEN asum / anchors ELSE rest END, 12) AS proxy FROM rw JOIN an USING (item_id) JOIN asum USING (model_id), ac, kd),
+rr AS (SELECT *, """ + _avg_rank("score", "item_id") + " AS rx, " + _avg_rank("proxy", "item_id") + """ AS ry FROM px),
+d AS (SELECT item_id, coalesce(CASE WHEN stddev_pop(rx) > 1e-15 AND stddev_pop(ry) > 1e-15 THEN corr(rx, ry) END, CASE WHEN stddev_pop(score) > 1e-15 AND stddev_pop(proxy) > 1e-15 THEN corr(score, proxy) END) AS d0 FROM rr GROUP BY 1),
+ir AS (SELECT item_id, n, p, -ln(greatest(least(p, 1 - 1e-4), 1e-4) / (1 - greatest(least(p, 1 - 1e-4), 1e-4))) AS difficulty, coalesce(d0, total_r) AS discrimination, greatest(coalesce(d0, total_r), 0) * p * (1 - p) AS information, anchor FROM ip JOIN d USING (item_id) JOIN an USING (item_id))"""
 
 
-@query("irt_proxy_items", _IRT + " SELECT item_id, n, round(p, 9) AS p, round(difficulty, 9) AS difficulty, round(discrimination, 9) AS discrimination, round(information, 9) AS information, CASE WHEN discrimination IS NULL THEN 'undefined' WHEN discrimination < -0.05 THEN 'negative' WHEN discrimination <= 0.05 THEN 'low' ELSE 'positive' END AS label, p >= 0.95 AS too_easy, p <= 0.05 AS too_hard FROM ir")
+@query("irt_proxy_items", _IRT + " SELECT item_id, n, round(p, 9) AS p, round(difficulty, 9) AS difficulty, round(discrimination, 9) AS discrimination, round(information, 9) AS information, CASE WHEN models < 5 THEN 'insufficient_panel' WHEN anchors = 0 OR p <= 0.05 OR p >= 0.95 THEN 'unstable_estimate' WHEN discrimination < -0.05 THEN 'negative_discrimination' WHEN abs(discrimination) < 0.05 THEN 'low_discrimination' ELSE 'positive_discrimination' END AS label, p >= 0.95 AS too_easy, p <= 0.05 AS too_hard, anchor FROM ir, ac, sz")
 def _(t: Tables):
     return _rounded(D.irt_items(t.full), "p", "difficulty", "discrimination", "information")
 

@@ -15,14 +15,15 @@ _TOK1 = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _SQZ = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 
 
-def _grams(name: str, table: str, key: str, n: int) -> str:
-    """CTEs ``name``: distinct (key, gram) of word n-grams."""
+def _grams(name: str, table: str, key: str, n: int, tokens: str = _TOK1) -> str:
+    """CTEs ``name``: distinct (key, gram) of word n-grams; a shorter text is one gram."""
     run = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER o" for k in range(1, n))])
-    words = f"SELECT {key}, unnest({_TOK1}) AS w, generate_subscripts({_TOK1}, 1) AS i FROM {table}"
-    return f"{name} AS (SELECT DISTINCT {key}, gram FROM (SELECT {key}, {run} AS gram FROM ({words}) WINDOW o AS (PARTITION BY {key} ORDER BY i)) WHERE gram IS NOT NULL)"
+    words = f"SELECT {key}, unnest({tokens}) AS w, generate_subscripts({tokens}, 1) AS i FROM {table}"
+    short = f"SELECT {key}, array_to_string({tokens}, ' ') FROM {table} WHERE len({tokens}) BETWEEN 1 AND {n - 1}"
+    return f"{name} AS (SELECT DISTINCT {key}, gram FROM (SELECT {key}, {run} AS gram FROM ({words}) WINDOW o AS (PARTITION BY {key} ORDER BY i)) WHERE gram IS NOT NULL UNION {short})"
 
 
-_OVER = f""", {_grams("ig", "benchmark", "item_id", 5)}, {_grams("de", "documents", "doc_id", 5)}, ie AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM ig),
+_OVER = f""", {_grams("ig", "benchmark", "item_id", 5, _TOK)}, {_grams("de", "documents", "doc_id", 5, _TOK)}, ie AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM ig),
 o AS (SELECT item_id, doc_id, count(*) / total AS o FROM de JOIN ie USING (gram) GROUP BY item_id, doc_id, total)"""
 
 
@@ -49,29 +50,39 @@ def _(t: Tables):
     return O.duplicate_ids(t.items.withColumn("key", F.md5(X.squeeze(F.col("text")))).select("item_id", "key"), "key")
 
 
-@query("template_duplicates", f""", k AS (SELECT item_id, regexp_replace(regexp_replace(regexp_replace({_SQZ}, '[0-9]+(\\.[0-9]+)?', '<num>', 'g'), '"[^"]*"|''[^'']*''', '<quoted>', 'g'), '[a-z]{{4,}}', '<word>', 'g') AS cluster_key FROM benchmark)
-SELECT cluster_key, min(item_id) AS first_id, count(*) AS size FROM k GROUP BY 1 HAVING count(*) > 1""")
+def _runs(e: str, whole: str, mark: str) -> str:
+    """``e`` with every complete run of word characters that matches ``whole`` replaced."""
+    return f"array_to_string(list_transform(regexp_extract_all({e}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: CASE WHEN regexp_full_match(x, '{whole}') THEN '{mark}' ELSE x END), '')"
+
+
+_TEMPLATE = "trim(regexp_replace(" + _runs("regexp_replace(" + _runs("lower(text)", "[0-9]+", "<num>") + ", '''[^'']+''', '<quoted>', 'g')", "[a-z]{4,}", "<word>") + ", '\\s+', ' ', 'g'))"
+
+
+@query("template_duplicates", f", k AS (SELECT item_id, {_TEMPLATE} AS cluster_key FROM benchmark) SELECT cluster_key, min(item_id) AS first_id, count(*) AS size FROM k GROUP BY 1 HAVING count(*) > 1")
 def _(t: Tables):
     return O.key_clusters(_bench(t).withColumn("key", X.template(F.col("text"))), "key")
 
 
+@query("template_keys", f"SELECT doc_id, md5({_TEMPLATE}) AS digest FROM documents", prelude=False)
+def _(t: Tables):
+    return _docs(t).select("doc_id", F.md5(X.template(F.col("text"))).alias("digest"))
+
+
 @query("ngram_overlap", _OVER + " SELECT item_id, doc_id, round(o, 9) AS overlap FROM o")
 def _(t: Tables):
     return O.ngram_overlap(_bench(t), _docs(t)).withColumn("overlap", r9("overlap"))
 
 
-@query("corpus_overlap", _OVER + """, b AS (SELECT item_id, doc_id, o FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o DESC, doc_id) AS k FROM o) WHERE k = 1)
-SELECT item_id, round(coalesce(o, 0), 9) AS suspicion, doc_id, coalesce(o, 0) >= 0.5 AS suspicious FROM benchmark LEFT JOIN b USING (item_id)""")
+@query("corpus_overlap", _OVER + f""", b AS (SELECT item_id, doc_id, o FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o DESC, doc_id) AS k FROM o) WHERE k = 1),
+sq AS (SELECT doc_id, {_SQZ} AS t FROM documents), w AS (SELECT DISTINCT item_id FROM (SELECT item_id, {_SQZ} AS t FROM benchmark) x JOIN sq ON x.t <> '' AND contains(sq.t, x.t))
+SELECT item_id, w.item_id IS NOT NULL AS contained, round(coalesce(o, 0), 9) AS overlap, doc_id, CASE WHEN w.item_id IS NOT NULL THEN 1.0 ELSE round(coalesce(o, 0), 9) END AS suspicion, w.item_id IS NOT NULL OR coalesce(o, 0) >= 0.5 AS suspicious FROM benchmark LEFT JOIN b USING (item_id) LEFT JOIN w USING (item_id)""")
 def _(t: Tables):
-    return O.corpus_overlap(_bench(t), _docs(t)).withColumn("suspicion", r9("suspicion"))
+    return O.corpus_overlap(_bench(t), _docs(t)).withColumns({c: r9(c) for c in ("overlap", "suspicion")})
 
 
 @query("corpus_contains", "SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1", prelude=False)
 def _(t: Tables):
-    # containment implies a shared 5-gram run: the n-gram join proposes, the exact test decides
-    cand = O.ngram_overlap(_bench(t), _docs(t)).where("overlap >= 0.99").select("item_id", "doc_id")
-    both = cand.join(_docs(t), "doc_id").join(F.broadcast(_bench(t).withColumnRenamed("text", "needle")), "item_id")
-    return both.where(F.contains("text", "needle")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return O.containing(_bench(t), _docs(t)).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 _SETS = f", s AS (SELECT doc_id AS id, list_distinct({_TOK}) AS t FROM documents), e AS (SELECT id, len(t) AS n, unnest(t) AS tok FROM s)"
@@ -103,15 +114,7 @@ def _(t: Tables):
     return O.shingle_candidates(_bench(t), _bench(t)).withColumn("jaccard", r9("jaccard"))
 
 
-@query("minhash_similarity", f""", s AS (SELECT item_id, {_TOK} AS t FROM benchmark), m AS (SELECT item_id, list_transform(range(0, 16), lambda k: coalesce(list_min(list_transform(t, lambda x: substr(sha256(CAST(k AS VARCHAR) || '|' || x), 1, 16))), '0000000000000000')) AS h FROM s)
-SELECT a.item_id AS a, b.item_id AS b, len(list_filter(range(1, 17), lambda k: a.h[k] = b.h[k])) / 16.0 AS similarity FROM m a JOIN m b ON a.item_id < b.item_id AND b.item_id < 12""")
-def _(t: Tables):
-    m = _bench(t).select("item_id", X.minhash(X.tokens(F.col("text")), 16).alias("h")).where("item_id < 12")
-    a, b = m.alias("a"), m.alias("b")
-    return a.join(b, F.expr("a.item_id < b.item_id")).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), X.minhash_similarity(F.col("a.h"), F.col("b.h")).alias("similarity"))
-
-
-@query("minhash_pairs", f""", s AS (SELECT item_id, {_TOK} AS t FROM benchmark), m AS (SELECT item_id, unnest(range(0, 16)) AS k, t FROM s), mv AS (SELECT item_id, k, coalesce(list_min(list_transform(t, lambda x: substr(sha256(CAST(k AS VARCHAR) || '|' || x), 1, 16))), '0000000000000000') AS v FROM m)
+@query("minhash_similarity", f""", s AS (SELECT item_id, {_TOK} AS t FROM benchmark), m AS (SELECT item_id, unnest(range(0, 16)) AS k, t FROM s), mv AS (SELECT item_id, k, coalesce(list_min(list_transform(t, lambda x: substr(sha256(CAST(k AS VARCHAR) || '|' || x), 1, 16))), '0000000000000000') AS v FROM m)
 SELECT a.item_id AS a, b.item_id AS b, count(*) / 16.0 AS similarity FROM mv a JOIN mv b ON a.k = b.k AND a.v = b.v AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id""")
 def _(t: Tables):
     return O.minhash_pairs(_bench(t).select("item_id", X.minhash(X.tokens(F.col("text")), 16).alias("h")), "h")
@@ -124,10 +127,15 @@ def _(t: Tables):
     return O.split_leakage(rows, {"exact": "x", "source": "y"})
 
 
-@query("temporal_validity", """SELECT event_id AS item_id, regexp_matches(event_type || CASE WHEN user_id % 3 = 0 THEN ' latest' ELSE '' END, '\\b(today|yesterday|tomorrow|currently|current|recent|recently|latest|this year|last year|next year|now)\\b', 'i') AS relative_time,
-coalesce(CASE WHEN user_id % 5 > 0 THEN CAST(ts AS DATE) > DATE '2024-01-15' END, false) AS after_cutoff, user_id % 5 = 0 AS missing_date FROM events""", prelude=False)
+@query("temporal_validity", """, e AS (SELECT event_id AS item_id, regexp_matches(event_type || CASE WHEN user_id % 3 = 0 THEN ' latest' ELSE '' END, '\\b(today|current|currently|latest|recent|now|this year|last year|as of)\\b', 'i') AS relative_time,
+coalesce(CASE WHEN user_id % 5 > 0 THEN CAST(ts AS DATE) > DATE '2024-01-15' END, false) AS after_cutoff, user_id % 2 = 0 AND user_id % 7 = 0 AS stale_label, CASE WHEN user_id % 2 = 0 THEN 1 + CAST(user_id % 7 = 0 AS INT) + CAST(user_id % 5 = 0 AS INT) ELSE 0 END AS missing_fields FROM events)
+SELECT *, relative_time OR after_cutoff OR stale_label OR missing_fields > 0 AS risk FROM e""")
 def _(t: Tables):
-    e = t.raw("events").select(F.col("event_id").alias("item_id"), F.concat("event_type", F.when(F.col("user_id") % 3 == 0, " latest").otherwise("")).alias("text"), F.when(F.col("user_id") % 5 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("source_date"), F.lit("2024-01-15").alias("cutoff"))
+    u = F.col("user_id")
+    e = t.raw("events").select(
+        F.col("event_id").alias("item_id"), F.concat("event_type", F.when(u % 3 == 0, " latest").otherwise("")).alias("text"), F.when(u % 5 > 0, F.date_format("ts", "yyyy-MM-dd")).alias("source_date"), F.lit("2024-01-15").alias("cutoff"),
+        (u % 2 == 0).alias("time_sensitive"), F.lit(None).cast("string").alias("answer_validity_date"), F.when(u % 7 > 0, "2024-01-01").alias("last_verified_date"), F.when(u % 5 > 0, "year").alias("temporal_scope"),
+    )
     return O.temporal(e)
 
 
@@ -144,7 +152,7 @@ def _(t: Tables):
 
 @query("longest_common_substring")
 def _(t: Tables):
-    cand = O.ngram_overlap(_bench(t), _docs(t)).where("overlap >= 0.2").select("item_id", "doc_id")
+    cand = O.ngram_overlap(_bench(t), _docs(t)).select("item_id", "doc_id")  # all pairs that share an n-gram
     both = cand.join(_docs(t), "doc_id").join(F.broadcast(_bench(t).withColumnRenamed("text", "needle")), "item_id")
     return O.lcs_ratio(both, "needle", "text").select("item_id", "doc_id", r9("lcs").alias("lcs"))
 

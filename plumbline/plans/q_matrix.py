@@ -31,16 +31,18 @@ def _(t: Tables):
     return matrix.adequacy(t.full).select("models", "items", "cells", "missing", *[r9(c).alias(c) for c in ("missing_fraction", "lowest", "highest", "p10", "p90", "sd", "near_chance")])
 
 
-@query("matrix_pivot_mean", "SELECT model_id, " + ", ".join(f"round(max(CASE WHEN item_id = '{i}' THEN score END), 9) AS i{i}" for i in range(8)) + " FROM f GROUP BY 1")
+ITEMS = [str(i) for i in range(200)]  # of the binding
+
+
+@query("matrix_pivot_mean", "SELECT model_id, " + ", ".join(f"round(max(CASE WHEN item_id = '{i}' THEN score END), 9) AS i{i}" for i in ITEMS) + " FROM f GROUP BY 1")
 def _(t: Tables):
-    wide = matrix.pivot(t.full, [str(i) for i in range(8)])
-    return wide.select("model_id", *[r9(F.col(f"`{i}`")).alias(f"i{i}") for i in range(8)])
+    wide = matrix.pivot(t.full, ITEMS)
+    return wide.select("model_id", *[r9(F.col(f"`{i}`")).alias(f"i{i}") for i in ITEMS])
 
 
-@query("matrix_unpivot", "SELECT model_id, item_id, round(score, 9) AS score FROM f WHERE CAST(item_id AS INT) < 8")
+@query("matrix_unpivot", "SELECT model_id, item_id, round(score, 9) AS score FROM f")
 def _(t: Tables):
-    wide = matrix.pivot(t.full, [str(i) for i in range(8)])
-    return matrix.unpivot(wide).where("score is not null").select("model_id", "item_id", r9("score").alias("score"))
+    return matrix.unpivot(matrix.pivot(t.full, ITEMS)).where("score is not null").select("model_id", "item_id", r9("score").alias("score"))
 
 
 @query("matrix_missing_cells", "SELECT count(DISTINCT model_id) AS models, count(DISTINCT item_id) AS items, count(score) AS cells, count(DISTINCT model_id) * count(DISTINCT item_id) - count(score) AS missing FROM f")

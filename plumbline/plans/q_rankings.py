@@ -30,7 +30,7 @@ def _(t: Tables):
     return rankings.compare(_acc(t.full), _acc(t.second))
 
 
-@query("subject_instability", """, fr AS (SELECT model_id, rank() OVER (ORDER BY a DESC) AS full_rank FROM acc)
+@query("subject_instability", """, fr AS (SELECT model_id, rank() OVER (ORDER BY round(a, 12) DESC) AS full_rank FROM acc)
 SELECT model_id, full_rank, count(*) AS subjects, min(mr) AS best_rank, max(mr) AS worst_rank, max(mr) - min(mr) AS rank_range, round(stddev_pop(mr), 9) AS rank_sd, round(avg(abs(mr - full_rank)), 9) AS mean_delta, max(abs(mr - full_rank)) AS max_delta
 FROM sar JOIN fr USING (model_id) GROUP BY model_id, full_rank""")
 def _(t: Tables):

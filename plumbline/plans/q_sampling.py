@@ -20,11 +20,17 @@ def _items(t: Tables):
 _IT = _IRT + ", sm AS (SELECT item_id, round(p, 9) AS p, round(discrimination, 9) AS d, round(information, 9) AS i, CAST(item_id AS INT) % 3 = 0 AS risky, CAST(item_id AS INT) % 8 AS tag FROM ir)"
 
 
-@query("subset_modes", _IT + f""" SELECT 'top_discrimination' AS mode, item_id FROM (SELECT item_id FROM sm ORDER BY d DESC NULLS LAST, item_id LIMIT 20) UNION ALL SELECT 'low_contamination_risk', item_id FROM (SELECT item_id FROM sm ORDER BY risky, i DESC NULLS LAST, item_id LIMIT 20)
-UNION ALL SELECT 'random_baseline', item_id FROM (SELECT item_id FROM sm ORDER BY {_u("2", "item_id")}, item_id LIMIT 20)""")
+def _mode(name: str, order: str, where: str = "true") -> str:
+    return f"SELECT '{name}' AS mode, item_id FROM (SELECT item_id FROM sm WHERE {where} ORDER BY {order} LIMIT 20)"
+
+
+@query("subset_modes", _IT + ", bt AS (SELECT item_id, row_number() OVER (PARTITION BY tag ORDER BY i DESC, item_id) AS rd, tag FROM sm) " + " UNION ALL ".join([
+    _mode("random_baseline", f"{_u('2', 'item_id')}, item_id"), _mode("top_discrimination", "d DESC, item_id DESC"), _mode("maximum_information", "i DESC, item_id DESC"), _mode("high_reliability", "i DESC, item_id DESC", "d >= 0.05"),
+    _mode("low_contamination_risk", "risky, CASE WHEN NOT risky THEN i END DESC NULLS LAST, item_id"), "SELECT 'balanced_by_construct_tag' AS mode, item_id FROM (SELECT item_id FROM bt ORDER BY rd, tag LIMIT 20)", "SELECT 'coverage_constrained' AS mode, item_id FROM (SELECT item_id FROM bt ORDER BY rd, tag LIMIT 20)",
+]))
 def _(t: Tables):
     items, out = _items(t), None
-    for mode in ("top_discrimination", "low_contamination_risk", "random_baseline"):
+    for mode in sampling.MODES:
         got = sampling.subset(items, mode, 20, 2).select(F.lit(mode).alias("mode"), "item_id")
         out = got if out is None else out.unionByName(got)
     return out

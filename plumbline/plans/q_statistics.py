@@ -172,6 +172,6 @@ def _(t: Tables):
 
 
 @query("effect_sizes", """SELECT round((avg(score) FILTER (y = 1) - avg(score) FILTER (y <> 1)) / sqrt(((count(*) FILTER (y = 1) - 1) * var_samp(score) FILTER (y = 1) + (count(*) FILTER (y <> 1) - 1) * var_samp(score) FILTER (y <> 1)) / (count(*) - 2)), 9) AS cohens_d,
-round(avg(CASE WHEN score >= 500 THEN 1.0 ELSE 0.0 END) FILTER (y = 1) / avg(CASE WHEN score >= 500 THEN 1.0 ELSE 0.0 END) FILTER (y <> 1), 9) AS risk_ratio FROM det""")
+round(avg(CASE WHEN score >= (SELECT quantile_cont(score, 0.5) FROM det) THEN 1.0 ELSE 0.0 END) FILTER (y = 1) / avg(CASE WHEN score >= (SELECT quantile_cont(score, 0.5) FROM det) THEN 1.0 ELSE 0.0 END) FILTER (y <> 1), 9) AS risk_ratio FROM det""")
 def _(t: Tables):
     return _rounded(detectors.effect_sizes(t.detector), "cohens_d", "risk_ratio")

@@ -185,3 +185,53 @@ def test_minhash_pairs_of_all_items(spark):
     d = spark.createDataFrame(list(h.items()), "item_id long, h array<string>")
     got = {(r["a"], r["b"]): r["similarity"] for r in forensics.minhash_pairs(d, "h").collect()}
     assert got == {(5, 40): 0.5, (5, 41): 1.0, (40, 41): 0.5}
+
+
+def test_correlation_without_variance_is_null(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, None, 1.0)], "g int, x double, y double")
+    from plumbline.functions.stats import pearson
+
+    assert [r["r"] for r in df.groupBy("g").agg(pearson("x", "y").alias("r")).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("parts", [1, 200])
+def test_ties_do_not_depend_on_the_order_of_sums(spark, parts):
+    import random
+
+    rng, scores = random.Random(1), [0.1, 0.2, 0.3, 0.7, 0.9, 1e-3]
+    rows = [(m, "s", str(i), x) for m in ("a", "b", "c") for i, x in enumerate(rng.sample(scores, 6))]
+    df = spark.createDataFrame(rows, "model_id string, subject string, item_id string, score double").repartition(parts)
+    assert {r["rank_average"] for r in rankings.subject_ranks(df).collect()} == {2.0}
+    assert {r["rank_range"] for r in rankings.subject_instability(df).collect()} == {0}
+
+
+def test_constant_items_do_not_fail(spark):
+    from plumbline.operators import diagnostics
+
+    rows = [(f"m{m}", "s", f"i{i}", 1.0 if i == 0 else float(m > i)) for m in range(6) for i in range(8)]
+    got = {r["item_id"]: r for r in diagnostics.irt_items(spark.createDataFrame(rows, "model_id string, subject string, item_id string, score double")).collect()}
+    assert got["i0"]["discrimination"] == 0 and got["i0"]["label"] == "unstable_estimate" and got["i2"]["label"] == "positive_discrimination"
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [("#### 1,200", 1200), ("so 3 and 4", None), ("it is 7, yes 7.0", 7), (r"1 2 \boxed{5}", 5), ("The answer is 3/6\nor 9", 0.5), ("Therefore 12 eggs", 12), ("", None), ("none", None), ("I cannot answer 5", None), ("-2e3", -2000)],
+)
+def test_stated_numbers(spark, text, value):
+    got = one(spark, text, X.number)
+    assert got is None if value is None else float(got) == value
+
+
+def test_leak_texts_decode_before_they_are_made_compatible(spark):
+    assert one(spark, "&#65313;\u2019s <b>X</b>\\quad y &lt;i&gt; \ufb01", forensics.normalize_leak_text) == "a's x y fi"
+    assert one(spark, "(B) Stra\u00dfe", lambda c: forensics.normalize_leak_text(c, True)) == "strasse"
+
+
+def test_templates_follow_their_order(spark):
+    assert one(spark, "What is 'the  Name' of 12 cats?", X.template) == "<word> is <<word>> of <num> <word>?"
+
+
+def test_containment_beyond_whole_tokens(spark):
+    corpus = spark.createDataFrame([(1, "xxabc defg hijkl"), (2, "abc defg hi"), (3, "zz"), (4, "abc")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "abc defg hi"), (2, "z"), (3, "q r s")], "item_id long, text string")
+    assert sorted(map(tuple, forensics.containing(items, corpus).collect())) == [(1, 1), (1, 2), (2, 3)]
