@@ -196,3 +196,24 @@ def agreement_bootstrap(labels: DataFrame, n: int, seed: int) -> DataFrame:
     w = weights(tasks, "task_id", n, seed)
     reps = tasks.join(w, "task_id").groupBy("replicate").agg((F.sum(F.col("same") * F.col("weight")) / F.sum(F.col("n") * (F.col("n") - 1) * F.col("weight"))).alias("a"))
     return truncated_ci(reps, "a")
+
+
+def _interval(reps: DataFrame, value: str) -> DataFrame:
+    return reps.agg(percentile(value, 0.025).alias("low"), percentile(value, 0.5).alias("mid"), percentile(value, 0.975).alias("high"))
+
+
+def mean_ci(rows: DataFrame, unit: str, value: str, n: int, seed: int) -> DataFrame:
+    """low, mid, high of the mean of ``value`` over resampled units: one row."""
+    reps = rows.join(weights(rows, unit, n, seed), unit).groupBy("replicate").agg((F.sum(F.col(value) * F.col("weight")) / F.sum("weight")).alias("m"))
+    return _interval(reps, "m")
+
+
+def auc_ci(rows: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
+    """low, mid, high of the area under the curve over resampled rows (y, score): weighted rank sums, so that no drawn row is
+    repeated: one row."""
+    w = rows.join(weights(rows, unit, n, seed), unit)
+    upto = F.sum("weight").over(Window.partitionBy("replicate").orderBy("score").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    r = w.withColumn("_r", upto - (F.sum("weight").over(Window.partitionBy("replicate", "score")) - 1) / 2.0)
+    pos, neg = F.sum(F.when(F.col("y") == 1, F.col("weight"))), F.sum(F.when(F.col("y") != 1, F.col("weight")))
+    top = F.sum(F.when(F.col("y") == 1, F.col("weight") * F.col("_r")))
+    return _interval(r.groupBy("replicate").agg(F.try_divide(top - pos * (pos + 1) / 2.0, pos * neg).alias("auc")), "auc")

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES = ("q_matrix", "q_rankings", "q_statistics", "q_resampling", "q_diagnostics", "q_forensics", "q_records", "q_domains", "q_sampling")
+MODULES = ("q_matrix", "q_rankings", "q_statistics", "q_resampling", "q_diagnostics", "q_forensics", "q_records", "q_domains", "q_sampling", "q_more")
 
 
 def query(name: str, sql: str | None = None, prelude: bool = True):
