@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from plumbline.llm.store import materialize, small_batches
 
 SHARD = 8192  # pieces that one task packs together
 FULL = 0.95  # bins filled less go to the next round
-CACHED = 150_000  # words whose ids a worker keeps
+CACHED = 240_000  # words whose ids a worker keeps
 PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 _coders: dict = {}
 
@@ -59,24 +60,39 @@ class Coder(dict):
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
+        self.special, self.old = special, {}
+
     def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _latin(self, text: str) -> bytes:
+        if self.plain and (text.isascii() or max(text) < "\u0250"):
+            return array("I", self.plain.encode_ordinary(text)).tobytes()
+        return self.ids(text)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
+        # the words of the last half are kept aside, so that frequent ones aren't worked out again
+        if len(self) >= CACHED // 2:
+            self.old = self.copy()
             self.clear()
-        if self.plain and max(word, default="") < "\u0250":
-            got = np.array(self.plain.encode_ordinary(" " + word), dtype="<u4").tobytes()
-        else:
-            got = self.ids(" " + word)
-        self[word] = got
+        got = self.old.get(word)
+        self[word] = got = self._latin(" " + word) if got is None else got
         return got
 
+    def by_words(self, text: str) -> bool:
+        """Whether a text is the concatenation of its blank-led words; looked up quickly where it has no other white space
+        than blanks and line feeds."""
+        if any(map(text.__contains__, self.special)):
+            return False
+        if text.replace("\n", "").isprintable():
+            return text[0] != " " and text[-1] != " " and "   " not in text and "\n  " not in text and "  \n" not in text and "\n \n" not in text
+        return not self.whole.search(text)
+
     def encode(self, text: str) -> bytes:
-        if self.whole.search(text):
+        if not text or not self.by_words(text):
             return self.ids(text)
         first, *rest = text.split(" ")
-        return self.ids(first) + b"".join(map(self.__getitem__, rest))
+        return self._latin(first) + b"".join(map(self.__getitem__, rest))
 
 
 def _pieces(files: tuple, end_id: int, cap: int, with_ids: bool):
