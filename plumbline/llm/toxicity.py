@@ -273,8 +273,8 @@ def words_of(text: str | None) -> Counter:
 
 def word_bag(words: Counter, numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and counts of the words that ``numbers`` holds."""
-    found = {k: c for w, c in words.items() if (k := numbers.get(w)) is not None}
-    return np.fromiter(found.keys(), dtype=np.int64, count=len(found)), np.fromiter(found.values(), dtype=float, count=len(found))
+    found = words.keys() & numbers.keys()
+    return np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found)), np.fromiter(map(words.__getitem__, found), dtype=float, count=len(found))
 
 
 class Model:
@@ -366,7 +366,8 @@ def word_table(documents: DataFrame, sample: DataFrame) -> tuple[Broadcast, np.n
         df = np.zeros(len(numbers) + 1, dtype=np.int64)  # the last counts the documents
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                df[[k for w in set(_WORD.findall((text or "").lower())) if (k := numbers.get(w)) is not None]] += 1
+                found = numbers.keys() & set(_WORD.findall((text or "").lower()))
+                df[np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))] += 1
             df[-1] += batch.num_rows
         yield pa.RecordBatch.from_pylist(counters.packed(df, SLICES, TaskContext.get().partitionId()), schema=pa.schema([("slice", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())]))
 
