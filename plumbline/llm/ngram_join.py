@@ -10,12 +10,15 @@ table of counts of fixed size over all documents; it only sets the order, so its
 3. Prefix elements are joined. Only pairs of *different* components that pass the length and position bounds, and
    whose parity bitmaps differ in no more bits than linked sets may, become candidates, so a group of k copies costs
    about k pairs, never k squared. All bounds are exact: they leave no linked pair out.
-4. A probe document walks the prefix tree of its candidates' ordered sets: overlaps of shared beginnings are
-   counted once and a subtree is left as soon as its remaining lengths can't reach the threshold.
+4. The second documents of the candidate pairs are dealt to groups, each to one: that of its smallest partner. A group's
+   ordered sets form one prefix tree, which all partners of its members walk: overlaps of shared beginnings are counted
+   once and a subtree is left as soon as its remaining lengths can't reach the threshold. Every pair found is a link,
+   whether it was a candidate or not. Large groups are dealt to blocks of members and of walkers, so a task holds few texts.
 
 Defined cases: null or wordless texts have the empty set and are linked with nothing; a row with a null doc_id
-comes back with a null component; rows that repeat a doc_id are one document and each of them is returned;
-other columns of the input are ignored.
+comes back with a null component; rows that repeat a doc_id are one document, linked by any of its texts, and each of
+them is returned; other columns of the input are ignored; an empty table gives no rows. Small tables are broadcast and
+large ones joined by shuffling, with the same result.
 """
 
 from __future__ import annotations
@@ -38,11 +41,13 @@ from plumbline.llm.textvec import U, mix, shingle_sets
 SLOTS = 1 << 22  # counters of the order table
 SLICES = 16
 KEYS = 6  # min-wise hashes with which leaders are found
-BLOCK = 200  # documents checked against one probe in a task
+BLOCK = 200  # members of a prefix tree, and documents that walk it in one task
 BUCKET_ROWS = 1_000_000  # prefix elements of a bucket
 FLUSH = 400_000  # prefix elements that a task holds before it deals them out
 MARKS = 8  # 64-bit words of the parity bitmap
 HOT = 4096  # an element counted so often is joined by Spark alone, not inside a bucket
+SENT = 500_000  # rows of a table of keys that are broadcast
+HOT_KEYS = 10_000
 BITS = 1 << 23  # of the filter that names the texts to be read again
 ENTRY = np.dtype([("token", "i8"), ("doc_id", "i8"), ("sig", "i8"), ("n", "i4"), ("pos", "i4")])
 
@@ -230,35 +235,57 @@ def _texts_of(docs: DataFrame, named) -> DataFrame:
             at = _bit(batch.column(0).to_numpy(zero_copy_only=False))
             yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-    return docs.where("doc_id is not null and text is not null").mapInArrow(keep, "doc_id long, text string").dropDuplicates(["doc_id"])
+    return docs.where("doc_id is not null and text is not null").mapInArrow(keep, "doc_id long, text string").dropDuplicates(["doc_id", "text"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets reach the threshold; ``a`` is the probe of a block of b's."""
-    blocks = pairs.groupBy("a").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
-    pairs = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
-    uses = pairs.select("a", "block", F.col("b").alias("doc_id")).union(pairs.select("a", "block", F.col("a").alias("doc_id")).distinct())
+    """Links (a, b) among the documents of ``pairs``, each of the pairs that reaches the threshold among them."""
+    home = pairs.groupBy("b").agg(F.min("a").alias("g"))
+    blocks = home.groupBy("g").agg((F.floor(F.count("*") / BLOCK) + 1).alias("blocks"))
+    home = materialize(home.join(blocks, "g").select("b", "g", F.pmod(F.xxhash64("b"), "blocks").alias("block")))
+    walkers = pairs.join(home, "b").select("g", "block", "a").distinct()
+    many = walkers.groupBy("g", "block").agg((F.floor(F.count("*") / BLOCK) + 1).alias("many"))
+    walkers = walkers.join(many, ["g", "block"]).select("g", "block", F.pmod(F.xxhash64("a"), "many").alias("part"), F.col("a").alias("doc_id"), F.lit(True).alias("walks"))
+    members = home.join(many, ["g", "block"]).select("g", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("part"), F.col("b").alias("doc_id"), F.lit(False).alias("walks"))
+    uses = materialize(walkers.unionByName(members))
     texts = _texts_of(docs, _named(uses.select("doc_id")))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, ids, a = levels.value, pdf["doc_id"].to_numpy(), pdf["a"].iloc[0]
+        table, ids, walks = levels.value, pdf["doc_id"].to_numpy(), pdf["walks"].to_numpy()
         sets = [ordered(s, table) for s in shingle_sets(pdf["text"], width)]
-        probe = [k for k, i in enumerate(ids) if i == a]
-        rest = [k for k, i in enumerate(ids) if i != a and len(sets[k])]
-        hits = search_tree(build_tree([sets[k] for k in rest]), sets[probe[0]], num, den) if probe and rest and len(sets[probe[0]]) else []
-        return pd.DataFrame({"a": np.full(len(hits), a, dtype=np.int64), "b": ids[[rest[h] for h in hits]].astype(np.int64)})
-
-    return uses.join(texts, "doc_id").groupBy("a", "block").applyInPandas(check, "a long, b long")
+        rest = [k for k, w in enumerate(walks) if not w and len(sets[k])]
+        out = []
+        if rest:
+            tree = build_tree([sets[k] for k in rest])
+            for k in np.flatnonzero(walks):
+                if len(sets[k]):
+                    out += [(ids[k], ids[rest[h]]) for h in search_tree(tree, sets[k], num, den) if ids[rest[h]] != ids[k]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return uses.join(texts, "doc_id").groupBy("g", "block", "part").applyInPandas(check, "a long, b long")
+
+
+def _beside(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """``keyed`` with the columns of a table of one row a (k, key). A table of few rows is broadcast. Of more the rows of
+    hot keys, of which there can be few, are broadcast and the others joined, so that no key's rows meet in one task."""
+    table = materialize(table)
+    if table.count() <= SENT:
+        return keyed.join(F.broadcast(table), ["k", "key"])
+    total = keyed.count()
+    hot = materialize(keyed.groupBy("k", "key").agg(F.count("*").alias("_c")).where(F.col("_c") > total / HOT_KEYS).select("k", "key"))  # fewer than HOT_KEYS
+    few = F.broadcast(table.join(F.broadcast(hot), ["k", "key"]))
+    rest = keyed.join(F.broadcast(hot), ["k", "key"], "left_anti").join(table, ["k", "key"])
+    return keyed.join(few, ["k", "key"]).unionByName(rest)
 
 
 def _leaders(reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of each representative with the most typical one at each of its min-wise hashes; at most KEYS for each."""
     keyed = reps.select("doc_id", "n", F.posexplode("keys").alias("k", "key"))
     sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1")
-    keyed = materialize(keyed.join(sizes, ["k", "key"]))
+    keyed = materialize(_beside(keyed, sizes))
     weight = keyed.groupBy("doc_id").agg(F.sum("c").alias("w"))
     lead = keyed.join(weight, "doc_id").groupBy("k", "key").agg(F.max(F.struct("w", -F.col("doc_id"), "n")).alias("m"))
-    met = keyed.join(lead.select("k", "key", (-F.col("m.col2")).alias("a"), F.col("m.n").alias("na")), ["k", "key"])
+    met = _beside(keyed, lead.select("k", "key", (-F.col("m.col2")).alias("a"), F.col("m.n").alias("na")))
     return met.where((F.col("a") != F.col("doc_id")) & (den * F.least("n", "na") >= num * F.greatest("n", "na"))).select("a", F.col("doc_id").alias("b")).distinct()
 
 
@@ -304,6 +331,10 @@ def jaccard_links(documents: DataFrame, width: int = 5, num: int = 80, den: int
     links = near
     if not pairs.isEmpty():
         links = near.union(verified(docs, pairs, levels, width, num, den))
+    # a doc_id whose rows hold different texts ties their classes
+    known = sets.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"])
+    ties = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("a", "b")
+    links = links.unionByName(ties)
     out = sets.join(classes.select("n", "s1", "s2", "class_id"), ["n", "s1", "s2"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id")
     return out, links
 

@@ -73,6 +73,35 @@ def test_near_duplicates_with_nulls_and_repeated_ids(spark):
     assert ngram_join.near_duplicates(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block, sent, hot", [(3, 500_000, 10_000), (200, -1, 20), (2, -1, 10_000)])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, block, sent, hot):
+    for name, value in (("BLOCK", block), ("SENT", sent), ("HOT_KEYS", hot)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = near_texts(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_a_document_of_two_texts_ties_both(spark):
+    rows = [(5, "a b c d e f g h i j k l"), (5, "m n o p q r s t u v w x"), (2, "a b c d e f g h i j k l"), (9, "m n o p q r s t u v w x"), (7, "other words stand here now")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(2, 2), (5, 2), (5, 2), (7, 7), (9, 2)]
+
+
+def test_many_walkers_share_a_tree():
+    """The nodes' segments are compared once for each walker, not once for each member that shares them."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 10**6, 400, dtype=np.uint64))
+    sets = [np.unique(np.r_[base[:380], rng.integers(10**6, 10**7, 12, dtype=np.uint64)]) for _ in range(50)]
+    tree, size = ngram_join.build_tree(sets), 0
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        size += len(node.segment)
+        stack += node.children
+    assert size < 0.1 * sum(map(len, sets)) and all(sorted(ngram_join.search_tree(tree, s, 80, 100)) == list(range(50)) for s in sets)
+
+
 def test_keep_one_keeps_columns(spark):
     d = docs(spark, ["a b c d e f", "a b c d e f", "x y z"]).withColumn("component_id", F.lit(7)).withColumn("n", F.lit(1))
     kept = ngram_join.keep_one(d)
