@@ -34,14 +34,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, "1000")
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """Have a working table deleted when the application ends, whatever its file system; gives the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The
+    table is deleted when the application ends; results read it lazily, so it can't go before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
+    return spark.read.schema(df.schema).parquet(gone_at_exit(spark, path))
 
 
 SENT = 1_000_000  # ids that are broadcast; more are joined by shuffling
