@@ -3,6 +3,11 @@
 Every stage takes all that its predecessor kept. Quality drops rejected documents; line dedup rewrites texts;
 near duplicates leave the smallest doc_id of a group; decontamination drops documents that hold benchmark items;
 packing returns one row for each piece of a document.
+
+Defined cases, for every stage: a null text is kept and packed as the empty text; null doc_ids are kept (they can be
+linked with nothing); rows that repeat a doc_id are judged each for itself by quality and line dedup, and go or stay
+together in the two stages that drop by doc_id; null sources and languages are a site of their own; other columns, of any
+name, pass through unchanged up to packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontam, linededup, ngram_join, packing, quality
-from plumbline.llm.store import shared_dir
+from plumbline.llm.store import gone_at_exit, shared_dir
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{work}/{name}")
-        docs = spark.read.parquet(f"{work}/{name}")
+        docs = spark.read.parquet(gone_at_exit(spark, f"{work}/{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
