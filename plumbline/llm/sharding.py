@@ -57,10 +57,10 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         low, high = high, min(high + ROUND, 2 * BITS)
 
 
-def _sharded(documents: DataFrame, key: str, limit: int) -> DataFrame:
-    """row (all columns), shard_id, depth, n_bytes, shard_bytes, oversize. The input's row travels as one column, so its
+def _sharded(documents: DataFrame, key: str, limit: int, carry: list[str]) -> DataFrame:
+    """row (the columns of ``carry``), shard_id, depth, n_bytes, shard_bytes, oversize. These columns travel as one, so their
     names can't clash with those made here."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
     rows = documents.select(whole, key_hash(F.col(f"`{key}`")).alias("h"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("place"))
     rows = materialize(rows.withColumn("h2", F.shiftrightunsigned(F.xxhash64("place"), 4)).withColumn("h2", F.col("h2").bitwiseAND((1 << BITS) - 1)))
     usual, large = rows.where(F.col("n_bytes") <= limit), rows.where(F.col("n_bytes") > limit)
@@ -78,8 +78,8 @@ def _sharded(documents: DataFrame, key: str, limit: int) -> DataFrame:
 
 def shard_rows(documents: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
     """The key, shard_id (bits), depth, n_bytes, shard_bytes, oversize for every row of ``documents``."""
-    out = _sharded(documents.select(key, "text") if key != "text" else documents.select("text"), key, limit)
-    return out.select(F.col(f"row.{key}").alias(key), "shard_id", "depth", "n_bytes", "shard_bytes", "oversize")
+    out = _sharded(documents, key, limit, [key])
+    return out.select(F.col(f"row.`{key}`").alias(key), "shard_id", "depth", "n_bytes", "shard_bytes", "oversize")
 
 
 def write_shards(documents: DataFrame, path: str, key: str = "doc_id", limit: int = LIMIT) -> str:
@@ -89,7 +89,7 @@ def write_shards(documents: DataFrame, path: str, key: str = "doc_id", limit: in
     name = "shard_id"
     while name.lower() in map(str.lower, documents.columns):
         name += "_"
-    rows = _sharded(documents, key, limit).select("row.*", F.concat(F.lit("s"), "shard_id").alias(name))
+    rows = _sharded(documents, key, limit, documents.columns).select("row.*", F.concat(F.lit("s"), "shard_id").alias(name))
     rows.repartition(name).write.partitionBy(name).parquet(path)
     return name
 
