@@ -30,14 +30,15 @@ def cohen(labels: DataFrame) -> DataFrame:
     return out.select("rater_a", "rater_b", "tasks", F.when(F.col("pe") >= 1.0, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 
-def fleiss(labels: DataFrame) -> DataFrame:
-    """Fleiss' kappa over tasks of at least two annotators, whose number may differ: one row."""
+def fleiss(labels: DataFrame, certain: float = 1.0) -> DataFrame:
+    """Fleiss' kappa over tasks of at least two annotators, whose number may differ: one row. Where all labels are the
+    same, agreement by chance is certain and kappa is 0 / 0: ``certain`` stands for it."""
     counts = labels.groupBy("task_id", "label").agg(F.count("*").alias("c"))
     tasks = counts.groupBy("task_id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).where("n > 1")
     p = tasks.agg(F.avg(F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("p"), F.sum("n").alias("total"), F.count("*").alias("tasks"))
     shares = counts.join(tasks.select("task_id"), "task_id", "left_semi").groupBy("label").agg(F.sum("c").alias("c"))
     e = shares.crossJoin(F.broadcast(p.select("total"))).agg(F.sum(F.pow(F.col("c") / F.col("total"), F.lit(2))).alias("e"))
-    return p.crossJoin(e).select("tasks", F.when(F.col("e") >= 1.0, 1.0).otherwise((F.col("p") - F.col("e")) / (1 - F.col("e"))).alias("kappa"))
+    return p.crossJoin(e).select("tasks", F.when(F.col("e") >= 1.0, F.lit(certain)).otherwise((F.col("p") - F.col("e")) / (1 - F.col("e"))).alias("kappa"))
 
 
 def krippendorff(labels: DataFrame) -> DataFrame:

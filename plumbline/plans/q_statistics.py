@@ -32,7 +32,7 @@ def _(t: Tables):
 
 @query("fleiss_kappa", _TC + ", p AS (SELECT avg(same / (n * (n - 1))) AS p, sum(n) AS total, count(*) AS tasks FROM tk), e AS (SELECT sum((c / total) * (c / total)) AS e FROM sh, p) SELECT tasks, round((p - e) / (1 - e), 9) AS kappa FROM p, e")
 def _(t: Tables):
-    return _rounded(agreement.fleiss(t.judgments), "kappa")
+    return _rounded(agreement.fleiss(t.judgments, certain=float("nan")), "kappa")
 
 
 @query("krippendorff_alpha", _TC + "SELECT CAST(total AS BIGINT) AS total, round(1 - differ / ((total * total - cc) / (total - 1)), 9) AS alpha FROM (SELECT sum((n * n - cc) / (n - 1)) AS differ, sum(n) AS total FROM tk), (SELECT sum(c * c) AS cc FROM sh)")
