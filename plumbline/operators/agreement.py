@@ -41,14 +41,15 @@ def fleiss(labels: DataFrame, certain: float = 1.0) -> DataFrame:
     return p.crossJoin(e).select("tasks", F.when(F.col("e") >= 1.0, F.lit(certain)).otherwise((F.col("p") - F.col("e")) / (1 - F.col("e"))).alias("kappa"))
 
 
-def krippendorff(labels: DataFrame) -> DataFrame:
-    """Nominal alpha, from coincidences that weigh 1 / (annotators of a task - 1): one row."""
+def krippendorff(labels: DataFrame, certain: float = 1.0) -> DataFrame:
+    """Nominal alpha, from coincidences that weigh 1 / (annotators of a task - 1): one row. Where all labels are the same,
+    no difference is expected and none found: ``certain`` stands for 1 - 0 / 0."""
     counts = labels.groupBy("task_id", "label").agg(F.count("*").alias("c"))
     tasks = counts.groupBy("task_id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("n > 1")
     o = tasks.agg(F.sum((F.col("n") * F.col("n") - F.col("cc")) / (F.col("n") - 1)).alias("differ"), F.sum("n").alias("total"))
     m = counts.join(tasks.select("task_id"), "task_id", "left_semi").groupBy("label").agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
     expected = (F.col("total") * F.col("total") - F.col("cc")) / (F.col("total") - 1)
-    return o.crossJoin(m).select("total", F.when(expected == 0, 1.0).otherwise(1 - F.col("differ") / expected).alias("alpha"))
+    return o.crossJoin(m).select("total", F.when(expected == 0, F.lit(certain)).otherwise(1 - F.col("differ") / expected).alias("alpha"))
 
 
 def confusion(labels: DataFrame) -> DataFrame:

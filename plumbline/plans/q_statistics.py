@@ -37,7 +37,7 @@ def _(t: Tables):
 
 @query("krippendorff_alpha", _TC + "SELECT CAST(total AS BIGINT) AS total, round(1 - differ / ((total * total - cc) / (total - 1)), 9) AS alpha FROM (SELECT sum((n * n - cc) / (n - 1)) AS differ, sum(n) AS total FROM tk), (SELECT sum(c * c) AS cc FROM sh)")
 def _(t: Tables):
-    return _rounded(agreement.krippendorff(t.judgments), "alpha")
+    return _rounded(agreement.krippendorff(t.judgments, certain=float("nan")), "alpha")
 
 
 @query("label_confusion", _P2 + "SELECT least(la, lb) AS label_a, greatest(la, lb) AS label_b, count(*) AS pairs FROM pp GROUP BY ALL")

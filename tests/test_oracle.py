@@ -39,7 +39,7 @@ def one_label(spark, tmp_path_factory):
     return out, own
 
 
-@pytest.mark.parametrize("name", ["fleiss_kappa"])
+@pytest.mark.parametrize("name", ["fleiss_kappa", "krippendorff_alpha"])
 def test_same_rows_of_one_label(spark, one_label, name):
     got, want = QUERIES[name](spark, one_label[0]).toPandas(), one_label[1].execute(SQL[name]).df()
     assert rows(got) == rows(want)
