@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.functions.stats import r9
 from plumbline.operators import forensics as O
-from plumbline.operators.graph import clusters
 from plumbline.plans.bindings import Tables
 from plumbline.plans.registry import query
 
@@ -97,7 +96,7 @@ def _(t: Tables):
 @query("near_duplicate_clusters", "WITH RECURSIVE " + (_JAC[2:]) + """, ed AS (SELECT a, b FROM p WHERE j >= 0.82 - 1e-12 UNION ALL SELECT b, a FROM p WHERE j >= 0.82 - 1e-12),
 r(id, root) AS (SELECT a, a FROM ed UNION SELECT ed.b, r.root FROM r JOIN ed ON ed.a = r.id) SELECT id, min(root) AS cluster FROM r GROUP BY 1""", prelude=False)
 def _(t: Tables):
-    return clusters(O.similar_pairs(t.items.select("item_id", X.tokens(F.col("text")).alias("tokens")), "tokens", 0.82))
+    return O.similar_clusters(t.items.select("item_id", X.tokens(F.col("text")).alias("tokens")), "tokens", 0.82)
 
 
 @query("semantic_duplicate_pairs", f""", e AS (SELECT doc_id AS id, unnest({_TOK}) AS tok FROM documents), tf AS (SELECT id, tok, count(*) AS c FROM e GROUP BY ALL), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY 1),
