@@ -103,8 +103,7 @@ def _(t: Tables):
 w AS (SELECT id, tok, c / sum(c) OVER (PARTITION BY id) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (tok)), u AS (SELECT id, tok, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w)
 SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 7) AS cosine FROM u x JOIN u y ON x.tok = y.tok AND x.id < y.id GROUP BY ALL HAVING sum(x.w * y.w) >= 0.85 - 1e-9""")
 def _(t: Tables):
-    v = O.tfidf(t.items.select("item_id", X.tokens(F.col("text")).alias("tokens")), "tokens")
-    return O.cosine_pairs(v, 0.85).withColumn("cosine", F.round("cosine", 7))
+    return O.tfidf_pairs(t.items.select("item_id", X.tokens(F.col("text")).alias("tokens")), "tokens", 0.85).withColumn("cosine", F.round("cosine", 7))
 
 
 @query("shingle_overlap", f""", {_grams("lg", "benchmark", "item_id", 3)}, le AS (SELECT item_id, count(*) OVER (PARTITION BY item_id) AS n, gram AS s FROM lg), q AS (SELECT x.item_id AS left_id, y.item_id AS right_id, count(*) / (x.n + y.n - count(*)) AS j FROM le x JOIN le y USING (s) GROUP BY x.item_id, y.item_id, x.n, y.n)
